@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import minhash, mixing, packing, quality, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their scores."""
+    return quality.passed(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All candidates, each with the forest's score and decision."""
+    return secrets.findings(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have near duplicates, with their group."""
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), mixing.WEIGHTS)
 
 
-QUERIES: dict[str, Query] = {"op5_packing": op5_packing, "op10_mixing": op10_mixing}
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (op1_quality, op4_secrets, op5_packing, op6_minhash, op10_mixing)
+}
 ORACLES: dict[str, str] = {"op10_mixing": mixing.SQL}
