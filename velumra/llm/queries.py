@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, secrets
+from . import minhash, mixing, packing, quality, secrets, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,11 +34,21 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that stand in several documents."""
+    return substrings.repeated_passages(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents, with their scores."""
+    return toxicity.toxic_documents(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir), mixing.WEIGHTS)
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_quality, op4_secrets, op5_packing, op6_minhash, op10_mixing)
+    f.__name__: f for f in (op1_quality, op4_secrets, op5_packing, op6_minhash, op8_substrings, op9_toxicity, op10_mixing)
 }
 ORACLES: dict[str, str] = {"op10_mixing": mixing.SQL}

@@ -83,3 +83,57 @@ def planes(x: np.ndarray) -> bytes:
 def unplanes(raw: bytes, kind: type, n: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(kind)
+
+
+class Blocks:
+    """Rows of equally long integer columns, the first of them a hash, kept
+    until there are many and then written as one packed row for each bucket of
+    the hash: a shuffle moves few rows, sorted and compressible."""
+
+    SCHEMA = "bucket int, n int, payload binary"
+
+    def __init__(self, buckets: int, kinds: list[str], rows: int = 2_000_000):
+        self.buckets, self.kinds, self.rows = buckets, kinds, rows
+        self.held: list[tuple[np.ndarray, ...]] = []
+        self.count = 0
+
+    def add(self, *columns: np.ndarray):
+        if len(columns[0]):
+            self.held.append(columns)
+            self.count += len(columns[0])
+        if self.count >= self.rows:
+            yield from self.flush()
+
+    def flush(self):
+        import pyarrow as pa
+
+        if not self.count:
+            return
+        columns = [np.concatenate(c).astype(k, copy=False) for c, k in zip(zip(*self.held), self.kinds)]
+        self.held, self.count = [], 0
+        bucket = (columns[0] % np.uint64(self.buckets)).astype(np.int32)
+        order = np.lexsort((columns[0], bucket))
+        columns, bucket = [c[order] for c in columns], bucket[order]
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1))
+        ends = np.append(edges[1:], len(bucket))
+        payload = []
+        for a, b in zip(edges, ends):
+            key = columns[0][a:b]
+            gaps = np.diff(key, prepend=key.dtype.type(0))
+            payload.append(b"".join([planes(gaps), *(planes(np.ascontiguousarray(c[a:b])) for c in columns[1:])]))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(bucket[edges]), pa.array((ends - edges).astype(np.int32)), pa.array(payload, pa.binary())], names=["bucket", "n", "payload"]
+        )
+
+
+def unblock(table, kinds: list[str]) -> list[np.ndarray]:
+    """The columns of all blocks of a bucket, in no order."""
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
+    for n, raw in zip(table.column("n").to_pylist(), table.column("payload").to_pylist()):
+        at = 0
+        for j, (kind, size) in enumerate(zip(kinds, sizes)):
+            column = unplanes(raw[at : at + n * size], kind, n)
+            parts[j].append(np.cumsum(column, dtype=kind) if j == 0 else column)
+            at += n * size
+    return [np.concatenate(p) if p else np.empty(0, k) for p, k in zip(parts, kinds)]
