@@ -3,7 +3,7 @@ partitions' totals, of which there are only as many as partitions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,12 @@ def _running(column: str, out: str):
     return run
 
 
-def range_sorted(df: DataFrame, order: list[Column], value: str) -> DataFrame:
-    """``df`` range-sorted and written, with ``part`` (the range partition) and
-    ``local_start`` (sum of ``value`` before the row, in its partition)."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+def range_sorted(df: DataFrame, order: list[Column], value: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``df`` range-sorted, mapped by ``then`` (which must keep the order of
+    rows) and written, with ``part`` (the range partition) and ``local_start``
+    (sum of ``value`` before the row, in its partition)."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = (then(ranged) if then else ranged).withColumn("part", F.spark_partition_id())
     schema = T.StructType([*ranged.schema.fields, T.StructField("local_start", T.LongType())])
     return table(ranged.mapInArrow(_running(value, "local_start"), schema), "ranged")
 
