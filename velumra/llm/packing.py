@@ -29,78 +29,84 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-class Encoder:
-    """The public byte-level BPE, with the ids of space-separated pieces kept.
+class Encoder(dict):
+    """The public byte-level BPE, as packed ids of texts; the ids of
+    space-separated pieces are kept.
 
     The split pattern never joins what is before a single space to what is
     after it, so pieces can be encoded alone; a text with two white-space
     characters running, or one at its end, is encoded whole.
     """
 
-    def __init__(self, ranks: dict[bytes, int], keep: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], kind: str, keep: int = 400_000):
         import tiktoken
 
+        super().__init__()
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.keep, self.known = keep, {}
+        self.kind, self.keep = kind, keep
 
-    def __call__(self, text: str) -> list[int]:
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.keep:
+            self.clear()
+        found = self[piece] = self.whole(" " + piece)
+        return found
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.encode(text), self.kind).tobytes()
+
+    def packed(self, text: str) -> bytes:
         if SPACED.search(text):
-            return self.encode(text)
+            return self.whole(text)
         first, *rest = text.split(" ")
-        known, ids = self.known, self.encode(first)
-        for piece in rest:
-            found = known.get(piece)
-            if found is None:
-                if len(known) >= self.keep:
-                    known.clear()
-                found = known[piece] = self.encode(" " + piece)
-            ids += found
-        return ids
-
-
-def _tokenise(ranks, eos: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(ranks.value)
-        end = [] if eos is None else [eos]
-        for batch in batches:
-            ids = [np.array(encode(text or "") + end, dtype="<i4") for text in batch.column("text").to_pylist()]
-            small = [x.astype("<u2").tobytes() if not len(x) or x.max() < 65536 else b"\0" + x.tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(small, pa.binary())], names=["doc_id", "n", "ids"]
-            )
+        return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
-    return run
 
+def _tokenise(ranks, eos: int | None, kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(ranks.value, kind)
+        end = b"" if eos is None else np.array([eos], kind).tobytes()
+        width = np.dtype(kind).itemsize
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                batch = whole.slice(k, 1024)
+                ids = [encoder.packed(text or "") + end for text in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "ids"]
+                )
 
-def unpack(ids: bytes) -> np.ndarray:
-    """Two bytes a token; where an id needs more, a zero byte and then four."""
-    return np.frombuffer(ids, "<u2").astype(np.int32) if len(ids) % 2 == 0 else np.frombuffer(ids, "<i4", offset=1)
+    return run
 
 
-def _cut(window: int, whole: bool):
+def _cut(window: int, whole: bool, kind: str):
     """Windows that are whole within a task, or (``whole`` false) the pieces of
     those that continue in another."""
 
+    def rows(found: list[tuple[int, list]]) -> pa.RecordBatch:
+        for _, pieces in found:
+            pieces.sort(key=lambda p: p[0])
+        every = [p for _, pieces in found for p in pieces]
+        n = [sum(len(p[1]) for p in pieces) for _, pieces in found]
+        ints = pa.array(np.concatenate([p[1] for p in every]).astype(np.int32))
+        records = pa.StructArray.from_arrays(
+            [pa.array([p[2] for p in every], pa.int64()), pa.array([p[3] for p in every], pa.int64()), pa.array([p[0] for p in every], pa.int32()), pa.array([len(p[1]) for p in every], pa.int32())],
+            names=["doc_id", "doc_start", "window_start", "n"],
+        )
+        upto = lambda counts: pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([w for w, _ in found], pa.int64()), pa.array([p[0][0] for _, p in found], pa.int32()), pa.array(n, pa.int32()),
+                pa.ListArray.from_arrays(upto(n), ints), pa.ListArray.from_arrays(upto([len(p) for _, p in found]), records),
+            ],
+            names=["window_id", "offset", "n", "tokens", "docs"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[int, list] = {}  # window -> pieces (offset, ids, doc_id, doc_start)
         held: dict[int, int] = {}
-
-        def rows(found: list[tuple[int, list]]) -> pa.RecordBatch:
-            out = [[], [], [], [], []]
-            for w, pieces in found:
-                pieces.sort(key=lambda p: p[0])
-                at = pieces[0][0]
-                ids = np.concatenate([p[1] for p in pieces])
-                docs = [{"doc_id": d, "doc_start": s, "window_start": o, "n": len(x)} for o, x, d, s in pieces]
-                for column, value in zip(out, (w, at, len(ids), ids, docs)):
-                    column.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.struct([("doc_id", pa.int64()), ("doc_start", pa.int64()), ("window_start", pa.int32()), ("n", pa.int32())]))]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=["window_id", "offset", "n", "tokens", "docs"])
-
         for batch in batches:
             done = []
             for doc_id, start, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "start", "ids"))):
-                ids, at = unpack(raw), 0
+                ids, at = np.frombuffer(raw, kind), 0
                 while at < len(ids):
                     w, offset = divmod(start + at, window)
                     part = ids[at : at + window - offset]
@@ -110,7 +116,7 @@ def _cut(window: int, whole: bool):
                         done.append((w, open_.pop(w)))
                         del held[w]
                     at += len(part)
-                if whole and len(done) >= 256:
+                if whole and len(done) >= 512:
                     yield rows(done)
                     done = []
             if whole and done:
@@ -136,9 +142,10 @@ def _cut(window: int, whole: bool):
 def pack(docs: DataFrame, ranks_path: str = RANKS, window: int = WINDOW, eos: int | None = EOS) -> DataFrame:
     """Cut the concatenation of all documents' tokens into windows.
 
-    Documents follow one another in order of (doc_id, token ids); each ends
-    with ``eos`` unless that is None. First pass: tokenise, range-sort, and sum
-    in each partition. Second pass: the partitions' totals give each document
+    Documents follow one another in order of (doc_id, text); each ends with
+    ``eos`` unless that is None. First pass: range-sort, tokenise, and sum in
+    each partition. (Texts are sorted, not their tokens: finding the ranges
+    runs what comes before the sort a second time.) Second pass: the partitions' totals give each document
     its global offset, and offsets give windows. Windows that lie in one task
     are cut there; only the pieces of those that cross a task's edge are
     shuffled and joined.
@@ -153,13 +160,14 @@ def pack(docs: DataFrame, ranks_path: str = RANKS, window: int = WINDOW, eos: in
     ignored; special tokens' strings are ordinary text.
     """
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
-    tokens = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _tokenise(ranks, eos), "doc_id bigint, n bigint, ids binary"
-    )
-    placed = starts(range_sorted(tokens, [F.col("doc_id"), F.col("ids")], "n"), "n").select("doc_id", "start", "ids")
-    whole = placed.mapInArrow(_cut(window, True), CUT)
-    pieces = placed.mapInArrow(_cut(window, False), CUT)
+    known = read_ranks(ranks_path)
+    kind = "<u2" if max([eos or 0, *known.values()]) < 65536 else "<u4"
+    ranks = spark.sparkContext.broadcast(known)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    tokenise = lambda df: df.mapInArrow(_tokenise(ranks, eos, kind), "doc_id bigint, n bigint, ids binary")
+    placed = starts(range_sorted(texts, [F.col("doc_id"), F.col("text")], "n", tokenise), "n").select("doc_id", "start", "ids")
+    whole = placed.mapInArrow(_cut(window, True, kind), CUT)
+    pieces = placed.mapInArrow(_cut(window, False, kind), CUT)
     ordered = F.array_sort(F.collect_list(F.struct("offset", "n", "tokens", "docs")))
     joined = pieces.groupBy("window_id").agg(ordered.alias("p")).select(
         "window_id",
