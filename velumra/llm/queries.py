@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, mixing, packing, quality, secrets, substrings, toxicity
+from . import embeddings, language_model, minhash, mixing, packing, quality, secrets, substrings, toxicity, webp
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,16 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.passed(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op2_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table holds images, so each embedding is first written as a WebP
+    tile, in ten ways that use all tools of the format, and then decoded."""
+    return webp.decoded(webp.tiles(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scores(documents(spark, sf_dir))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates, each with the forest's score and decision."""
     return secrets.findings(documents(spark, sf_dir))
@@ -34,6 +44,11 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of near-duplicate vectors."""
+    return embeddings.near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages that stand in several documents."""
     return substrings.repeated_passages(documents(spark, sf_dir))
@@ -49,6 +64,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_quality, op4_secrets, op5_packing, op6_minhash, op8_substrings, op9_toxicity, op10_mixing)
-}
-ORACLES: dict[str, str] = {"op10_mixing": mixing.SQL}
+    f.__name__: f
+    for f in (
+        op1_quality, op2_webp, op3_language_model, op4_secrets, op5_packing, op6_minhash, op7_embeddings, op8_substrings, op9_toxicity, op10_mixing,
+    )
+}
+ORACLES: dict[str, str] = {"op2_webp": webp.SQL, "op7_embeddings": embeddings.SQL, "op10_mixing": mixing.SQL}

@@ -111,7 +111,7 @@ class Blocks:
             return
         columns = [np.concatenate(c).astype(k, copy=False) for c, k in zip(zip(*self.held), self.kinds)]
         self.held, self.count = [], 0
-        bucket = (columns[0] % np.uint64(self.buckets)).astype(np.int32)
+        bucket = ((columns[0] >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.int32)
         order = np.lexsort((columns[0], bucket))
         columns, bucket = [c[order] for c in columns], bucket[order]
         edges = np.flatnonzero(np.diff(bucket, prepend=-1))
