@@ -23,7 +23,7 @@ from ..operators.graph import Compiled
 from ..plans.lineage import shared_folder
 
 MAGIC, VERSION = 0x46524745, 2
-HEAD = struct.Struct("<Iiii")
+HEAD, HEAD_SIZE = "<Iiii", 16
 #: Edges in a partition of a read.
 SPLIT = 1 << 20
 EDGES = "src_idx bigint, dst_idx bigint, weight double, last_modified bigint, type tinyint"
@@ -72,7 +72,7 @@ def write_stream(compiled: Compiled, out: BinaryIO) -> None:
     one writer. ``out`` stays open."""
     order = ["src_idx", "dst_idx"]
     edges = compiled.edges.orderBy(*order)
-    out.write(HEAD.pack(MAGIC, VERSION, compiled.node_index.count(), compiled.edges.count()))
+    out.write(struct.pack(HEAD, MAGIC, VERSION, compiled.node_index.count(), compiled.edges.count()))
     out.write(np.zeros(1, "<i4").tobytes())
     sections = [(compiled.row_ptr().orderBy("idx"), "row_end", "<i4"), (edges, "dst_idx", "<i4"), (edges, "weight", "<f4"), (edges, "last_modified", "<i8"), (edges, "type", "u1")]
     for df, column, kind in sections:
@@ -95,7 +95,7 @@ def _take(raw: BinaryIO, n: int) -> bytes:
 
 
 def _head(raw: BinaryIO) -> tuple[int, int]:
-    magic, version, n, e = HEAD.unpack(_take(raw, HEAD.size))
+    magic, version, n, e = struct.unpack(HEAD, _take(raw, HEAD_SIZE))
     if magic != MAGIC:
         raise SnapshotError(f"no snapshot: it begins with {magic:#x}")
     if version != VERSION:
@@ -123,7 +123,7 @@ def _edges(raw: BinaryIO, n: int, e: int, first: int, last: int, begin: int = 0)
     """Edges ``first`` to ``last``; the snapshot begins at ``begin``."""
 
     def section(at: int, kind: str, a: int, b: int) -> np.ndarray:
-        raw.seek(begin + HEAD.size + at + a * np.dtype(kind).itemsize)
+        raw.seek(begin + HEAD_SIZE + at + a * np.dtype(kind).itemsize)
         return np.frombuffer(_take(raw, (b - a) * np.dtype(kind).itemsize), kind)
 
     starts = section(0, "<i4", 0, n + 1)
@@ -145,7 +145,7 @@ def read_stream(spark: SparkSession, raw: BinaryIO) -> Compiled:
     begin = raw.tell()
     n, e = _head(raw)
     edges = _edges(raw, n, e, 0, e, begin)
-    raw.seek(begin + HEAD.size + 4 * (n + 1) + 17 * e)
+    raw.seek(begin + HEAD_SIZE + 4 * (n + 1) + 17 * e)
     ids = _ids(raw, n)
     index = pa.table({"idx": pa.array(range(n), pa.int64()), "id": pa.array(ids, pa.string())})
     return Compiled(spark.createDataFrame(index, "idx bigint, id string"), spark.createDataFrame(edges, EDGES))
@@ -174,7 +174,7 @@ class _Reader(DataSourceReader):
             if self.what == "edges":
                 yield from _edges(raw, n, e, first, last).to_batches()
             else:
-                raw.seek(HEAD.size + 4 * (n + 1) + 17 * e)
+                raw.seek(HEAD_SIZE + 4 * (n + 1) + 17 * e)
                 ids = _ids(io.BufferedReader(raw, 1 << 20) if not isinstance(raw, io.BufferedReader) else raw, n)
                 yield pa.RecordBatch.from_pydict({"idx": pa.array(range(n), pa.int64()), "id": pa.array(ids, pa.string())})
 
