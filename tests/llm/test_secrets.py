@@ -1,0 +1,71 @@
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from velumra.llm import queries, secrets
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def forest():
+    return secrets.train()
+
+
+def test_held_out_findings(forest):
+    rows = secrets.labelled_findings(2000, seed=99)
+    y = np.array([r[4] for r in rows])
+    said = forest.score(np.array([secrets.describe(*r[:4]) for r in rows])) >= secrets.THRESHOLD
+    assert (said == y).mean() > 0.95
+
+
+def test_scores_are_walks_down_the_trees(forest):
+    x = np.array([secrets.describe(*r[:4]) for r in secrets.labelled_findings(50, seed=5)])
+    for row, score in zip(x, forest.score(x)):
+        shares = []
+        for f, c, l, s in zip(forest.feature, forest.cut, forest.left, forest.share):
+            at = 0
+            while l[at] >= 0:
+                at = l[at] + (row[f[at]] > c[at])
+            shares.append(s[at])
+        assert score == pytest.approx(np.mean(shares))
+
+
+KEY = "ghp_" + "a8Kd03Lq9ZxV7bNm2PwR5tYc4HsJ6gFe1QuI"
+ROWS = [(1, f'before token = "{KEY}" after'), (2, "commit 3f786850e387550fdab836ed7e6dc881de23001b merged"), (3, "plain words only"), (4, f"api_key: '{KEY}' and again '{KEY}'")]
+
+
+def test_finds_keys_and_leaves_hashes(spark, forest):
+    found = secrets.findings(brute.documents(spark, ROWS), forest).collect()
+    assert {r.doc_id for r in found if r.is_secret} == {1, 4} and {r.doc_id for r in found} == {1, 2, 4}
+    texts = dict(ROWS)
+    assert all(texts[r.doc_id][r.begin : r.end] == r.candidate for r in found)
+    clean = {r.doc_id: r for r in secrets.redacted_documents(brute.documents(spark, ROWS), forest).collect()}
+    assert clean[1].text == f'before token = "{secrets.REDACTED}" after' and clean[1].n_chars == len(clean[1].text)
+    assert KEY not in clean[4].text and clean[2].text == ROWS[1][1] and clean[3].text == ROWS[2][1]
+
+
+def test_query_equals_plain_scan(spark, forest):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    want = []
+    for r in docs:
+        for m in secrets.candidates(r.text):
+            row = secrets.describe(m.group(), r.text[max(0, m.start() - secrets.CONTEXT) : m.start()], r.text[m.end() : m.end() + secrets.CONTEXT], r.source)
+            score = forest.score(np.array([row]))[0]
+            want.append((r.doc_id, m.start(), m.end(), m.group(), round(score, 9), bool(score >= secrets.THRESHOLD)))
+    got = [(r.doc_id, r.begin, r.end, r.candidate, round(r.score, 9), r.is_secret) for r in queries.op4_secrets(spark, SF).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_odd_rows(spark, forest):
+    docs = brute.odd(spark).unionByName(brute.documents(spark, [(None, f"token={KEY}", None, None), (9, f"secret: {KEY} " + brute.LONG, None, None)]))
+    wide = brute.clashing(docs)
+    found = secrets.findings(wide, forest).where("is_secret").collect()
+    assert {r.doc_id for r in found} == {None, 9}
+    clean = secrets.redacted_documents(wide, forest)
+    assert clean.columns == wide.columns and clean.count() == docs.count()
+    assert clean.where(F.col("text").contains(KEY)).count() == 0 and clean.where("text IS NULL").count() == 1
+    assert secrets.findings(docs.limit(0), forest).count() == secrets.redacted_documents(docs.limit(0), forest).count() == 0
+    bare = secrets.redacted_documents(docs.select("doc_id", "text", "source"), forest)
+    assert bare.columns == ["doc_id", "text", "source"]

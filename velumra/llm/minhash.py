@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import weak_components
 from ..plans.lineage import table
-from .words import WordHashes, hashed, mix, shingles
+from .words import WordHashes, hashed, mix, shingles, unused
 
 BINS = 256
 ROWS = 4
@@ -177,5 +177,6 @@ def near_duplicates(
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, without those that a kept near duplicate stands for."""
-    gone = near_duplicates(docs, **options).where("NOT keep").select(F.col("doc_id").alias("__gone_id"))
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone_id"), "left_anti")
+    (name,) = unused(docs.columns, "__gone_id")
+    gone = near_duplicates(docs, **options).where("NOT keep").select(F.col("doc_id").alias(name))
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

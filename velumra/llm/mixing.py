@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import table
 from ..plans.prefix import prefix_sum
+from .words import unused
 
 #: A token here is a run of characters other than ASCII white space.
 WORD = r"[^ \t\n\r\f\x0B]+"
@@ -86,8 +87,9 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0}
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, whose unit is in the queue."""
-    queue = mix(docs, **options).select(F.col("source").alias("_s"), F.col("doc_id").alias("_d"))
-    same = F.col("source").eqNullSafe(F.col("_s")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_d"))
+    s, d = unused(docs.columns, "_s", "_d")
+    queue = mix(docs, **options).select(F.col("source").alias(s), F.col("doc_id").alias(d))
+    same = F.col("source").eqNullSafe(F.col(s)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d))
     return docs.join(queue, same, "left_semi")
 
 

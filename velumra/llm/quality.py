@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import unused
+
 #: The bound on labelled rows that the model is fitted on, taken in order of a hash of doc_id.
 SAMPLE = 8192
 #: Share of the sample's good held-out documents that the threshold may reject.
@@ -165,16 +167,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     return fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for _, _, i, v in rows], np.array([g > 0 for _, g, _, _ in rows], int))
 
 
-def _scored(model, column: str):
+def _scored(model, column: str, read: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, known = model.value, {}
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                found = [features(*x, known) for x in zip(*(batch.column(c).to_pylist() for c in ("__text", "__lang", "__source")))]
+                found = [features(*x, known) for x in zip(*(batch.column(c).to_pylist() for c in read))]
                 begin = np.concatenate([[0], np.cumsum([len(i) for i, _ in found])]).astype(np.int64)
                 scores = m.score(np.concatenate([i for i, _ in found]), np.concatenate([v for _, v in found]), begin)
-                rest = batch.select([c for c in batch.schema.names if c not in ("__text", "__lang", "__source")])
+                rest = batch.select([c for c in batch.schema.names if c not in read])
                 yield rest.append_column(column, pa.array(scores.astype(np.float64)))
 
     return run
@@ -188,8 +190,7 @@ def scores(docs: DataFrame, model: Machine) -> DataFrame:
     """(doc_id, score) for every row of ``docs``. A null text counts as empty,
     null metadata as the value "None"; repeated rows score alike; an empty
     table gives none; other columns are ignored."""
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(f"__{c}") for c in ("text", "lang", "source")))
-    return named.mapInArrow(_scored(_broadcast(docs, model), "score"), "doc_id bigint, score double")
+    return _plain(docs).mapInArrow(_scored(_broadcast(docs, model), "score", ["text", "lang", "source"]), "doc_id bigint, score double")
 
 
 def passed(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -203,7 +204,8 @@ def passed(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFram
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier keeps."""
     model = train(docs, labels, sample)
-    named = docs.select("*", *(F.col(c).cast("string").alias(f"__{c}") for c in ("text", "lang", "source")))
-    schema = docs.withColumn("__score", F.lit(0.0)).schema
-    judged = named.mapInArrow(_scored(_broadcast(docs, model), "__score"), schema)
-    return judged.where(F.col("__score") >= model.threshold).drop("__score")
+    score, *read = unused(docs.columns, "__score", "__text", "__lang", "__source")
+    named = docs.select("*", *(F.col(c).cast("string").alias(n) for c, n in zip(("text", "lang", "source"), read)))
+    schema = docs.withColumn(score, F.lit(0.0)).schema
+    judged = named.mapInArrow(_scored(_broadcast(docs, model), score, read), schema)
+    return judged.where(F.col(score) >= model.threshold).drop(score)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .forest import Forest, grow
+from .words import unused
 
 #: The bound on labelled findings that the forest is fitted on.
 FINDINGS = 8000
@@ -197,7 +198,7 @@ def train(findings: list[tuple[str, str, str, str, int]] | None = None, bound: i
     return grow(np.array([describe(*r[:4]) for r in rows]), np.array([r[4] for r in rows]))
 
 
-def _scan(forest, redact: bool, threshold: float):
+def _scan(forest, threshold: float, names: list[str] | None = None):
     def judged(texts: list[str | None], paths: list[str | None]) -> tuple[list[tuple[int, int, int]], np.ndarray]:
         places, rows = [], []
         for i, (text, path) in enumerate(zip(texts, paths)):
@@ -221,8 +222,8 @@ def _scan(forest, redact: bool, threshold: float):
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("__text").to_pylist()
-            places, scores = judged(texts, batch.column("__source").to_pylist())
+            texts = batch.column(names[0]).to_pylist()
+            places, scores = judged(texts, batch.column(names[1]).to_pylist())
             cuts: dict[int, list[tuple[int, int]]] = {}
             for (i, a, b), s in zip(places, scores):
                 if s >= threshold:
@@ -233,9 +234,9 @@ def _scan(forest, redact: bool, threshold: float):
                     parts += [texts[i][at:a], REDACTED]
                     at = b
                 texts[i] = "".join(parts) + texts[i][at:]
-            yield batch.append_column("__clean", pa.array(texts, pa.string())).append_column("__hits", pa.array([len(cuts.get(i, ())) for i in range(len(texts))], pa.int32()))
+            yield batch.append_column(names[2], pa.array(texts, pa.string())).append_column(names[3], pa.array([len(cuts.get(i, ())) for i in range(len(texts))], pa.int32()))
 
-    return clean if redact else scan
+    return clean if names else scan
 
 
 REDACTED = "<SECRET>"
@@ -251,18 +252,19 @@ def findings(docs: DataFrame, forest: Forest | None = None, threshold: float = T
     columns are ignored. Places count characters of the whole text."""
     model = docs.sparkSession.sparkContext.broadcast(forest or train())
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    return named.mapInArrow(_scan(model, False, threshold), "doc_id bigint, begin int, end int, candidate string, score double, is_secret boolean")
+    return named.mapInArrow(_scan(model, threshold), "doc_id bigint, begin int, end int, candidate string, score double, is_secret boolean")
 
 
 def redacted_documents(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """All rows of ``docs``, each secret replaced by ``REDACTED`` and n_chars,
     if there is one, counted anew where something was replaced."""
     model = docs.sparkSession.sparkContext.broadcast(forest or train())
-    named = docs.select("*", F.col("text").cast("string").alias("__text"), F.col("source").cast("string").alias("__source"))
-    schema = named.withColumns({"__clean": F.lit("").cast("string"), "__hits": F.lit(0)}).schema
-    done = named.mapInArrow(_scan(model, True, threshold), schema)
-    hit = F.col("__hits") > 0
-    changed = {"text": F.when(hit, F.col("__clean")).otherwise(F.col("text"))}
+    text, source, clean, hits = names = unused(docs.columns, "__text", "__source", "__clean", "__hits")
+    named = docs.select("*", F.col("text").cast("string").alias(text), F.col("source").cast("string").alias(source))
+    schema = named.withColumns({clean: F.lit(None).cast("string"), hits: F.lit(0)}).schema
+    done = named.mapInArrow(_scan(model, threshold, names), schema)
+    hit = F.col(hits) > 0
+    changed = {"text": F.when(hit, F.col(clean)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(hit, F.length("__clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        changed["n_chars"] = F.when(hit, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return done.withColumns(changed).select(*docs.columns)

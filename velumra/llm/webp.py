@@ -573,7 +573,8 @@ WAYS: list[dict] = [
 def tile_pixels(embedding: Column) -> Column:
     """An embedding as pixels: each value is a level, of which each channel shows something else."""
     level = lambda v: F.least(F.greatest(F.floor((v.cast("double") + 1.0) * 127.5 + 0.5), F.lit(0)), F.lit(255))
-    return F.transform(embedding, lambda v: F.lit(255 * 2**24) + (level(v) * 7 % 256) * 2**16 + level(v) * 256 + (255 - level(v)))
+    pixel = lambda v: F.lit(255 * 2**24) + (level(v) * 7 % 256) * 2**16 + level(v) * 256 + (255 - level(v))
+    return F.transform(embedding, lambda v: F.when(v.isNotNull(), pixel(v)))
 
 
 def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

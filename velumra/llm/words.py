@@ -11,6 +11,18 @@ WORDS = re.compile(r"\w+")
 ONE = np.uint64(1)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """``names``, lengthened where one of ``columns`` has the name."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser over unsigned 64-bit integers."""
     x = x.astype(np.uint64, copy=True)
