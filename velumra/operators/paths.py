@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.iterate import least_values
-from ..plans.lineage import drop, table
+from ..plans.lineage import drop, fresh, table
 from .components import weak_components
 from .graph import STRUCTURAL, Compiled
 
@@ -62,21 +62,22 @@ def flow_rank(compiled: Compiled, subset: DataFrame | None = None) -> DataFrame:
     if subset is not None:
         a, b = (nodes.select(F.col("idx").alias(c)) for c in ("src_idx", "dst_idx"))
         inside = inside.join(a, "src_idx", "left_semi").join(b, "dst_idx", "left_semi")
-    left, level, below = table(inside, "left"), 0, []
+    spark = compiled.node_index.sparkSession
+    # Levels are appended to one table: the result scans it once, however many there are.
+    path, level, left = fresh(spark, "ranks"), 0, table(inside, "left")
+    nodes.withColumn("rank", F.lit(0)).write.parquet(path)
+    levels = lambda: spark.read.schema("idx bigint, rank int").parquet(path)
     size = left.count()
     while size:
         level += 1
-        ahead = table(left.select(F.col("dst_idx").alias("idx")).distinct().withColumn("rank", F.lit(level)), "ahead")
-        below.append(ahead)
+        left.select(F.col("dst_idx").alias("idx")).distinct().withColumn("rank", F.lit(level)).write.mode("append").parquet(path)
+        ahead = levels().where(F.col("rank") == level)
         then = table(left.join(ahead.select(F.col("idx").alias("src_idx")), "src_idx", "left_semi"), "left")
         drop(left)
         left, before, size = then, size, then.count()
         if size == before:
             raise CycleError("structural edges form a cycle")
-    ranks = nodes.withColumn("rank", F.lit(0))
-    for some in below:
-        ranks = ranks.unionByName(some)
-    return ranks.groupBy("idx").agg(F.max("rank").alias("rank"))
+    return levels().groupBy("idx").agg(F.max("rank").alias("rank"))
 
 
 def cyclic_edges(edges: DataFrame) -> DataFrame:

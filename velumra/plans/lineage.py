@@ -29,13 +29,18 @@ def table(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it again: the plan
     that follows starts from files that outlive any executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/velumra/{name}-{uuid.uuid4().hex}"
+    path = fresh(spark, name)
     df.write.parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._velumra_path = path
     return again
 
 
+def fresh(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/velumra/{name}-{uuid.uuid4().hex}"
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by ``table`` that nothing reads any more."""
     path = getattr(df, "_velumra_path", None)

@@ -14,6 +14,7 @@ from ..operators import graph, knn, neural, paths, tensor, text
 from ..sources import snapshot
 from ..streaming.accumulate import EdgeFold, fold_stream
 from . import graphs
+from .lineage import fresh
 from .sql import ORACLES  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -142,7 +143,7 @@ def stream_accumulate(spark, sf_dir):
         F.col("ts").cast("timestamp").cast("long").alias("ts"), F.lit(graph.ASSOCIATIVE).alias("type"),
     )
     fold = EdgeFold()
-    fold_stream(log, fold, snapshot.fresh(spark, "stream")).awaitTermination()
+    fold_stream(log, fold, fresh(spark, "stream")).awaitTermination()
     return _edges(fold.edges)
 
 
@@ -295,7 +296,7 @@ def topology_hash(spark, sf_dir):
 
 @query
 def snapshot_roundtrip(spark, sf_dir):
-    path = snapshot.fresh(spark, "snapshot")
+    path = fresh(spark, "snapshot")
     snapshot.save(_mixed(spark, sf_dir), path)
     return _indexed(snapshot.load(spark, path).edges)
 

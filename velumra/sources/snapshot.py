@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import io
 import struct
-import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
 
@@ -20,7 +19,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.graph import Compiled
-from ..plans.lineage import shared_folder
 
 MAGIC, VERSION = 0x46524745, 2
 HEAD, HEAD_SIZE = "<Iiii", 16
@@ -33,11 +31,6 @@ class SnapshotError(ValueError):
     """The bytes are no snapshot of the known version, or end too early."""
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/velumra/{name}-{uuid.uuid4().hex}"
-
-
 def save(compiled: Compiled, path: str) -> None:
     """As Parquet; ids keep their order, columns of nodes and edges stay."""
     compiled.node_index.write.parquet(f"{path}/nodes")
