@@ -152,6 +152,13 @@ def test_cycles(spark):
             P.check_acyclic(edges(spark, *rows))
 
 
+def test_accumulation_refuses_cycles(spark):
+    rows = [("ClassA", "ClassB", 0.5, 0, A), ("ClassB", "ClassA", 0.5, 0, A), ("a", "b", 1, 0, ST), ("b", "c", 1, 0, ST)]
+    assert as_dict(P.accumulate_acyclic(log(spark, *rows)))["classa", "classb"] == (1, 0, A)
+    with pytest.raises(P.CycleError):
+        P.accumulate_acyclic(log(spark, *rows, ("c", "a", 1, 0, ST)))
+
+
 def test_centrality(spark):
     g = compiled(spark, ["hub", *(f"leaf{k:02}" for k in range(99))], *(("hub", f"leaf{k:02}", 2, A) for k in range(99)))
     found = np.array([r.centrality for r in C.centrality(g).orderBy("idx").collect()])

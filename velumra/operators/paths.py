@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.iterate import least_values
 from ..plans.lineage import drop, fresh, table
 from .components import weak_components
-from .graph import STRUCTURAL, Compiled
+from .graph import STRUCTURAL, Compiled, accumulate
 
 
 class CycleError(ValueError):
@@ -103,3 +103,11 @@ def check_acyclic(edges: DataFrame) -> None:
     bad = cyclic_edges(structural).first()
     if bad:
         raise CycleError(f"structural edges form a cycle, which {bad.src_idx} -> {bad.dst_idx} is part of")
+
+
+def accumulate_acyclic(log: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """``accumulate``, refused as a whole with CycleError if structural edges
+    form a cycle."""
+    edges = table(accumulate(log, nodes), "edges")
+    check_acyclic(edges)
+    return edges

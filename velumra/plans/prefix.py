@@ -3,7 +3,7 @@ partitions' totals, of which there are only as many as partitions."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .lineage import table
+from .memory import Kernel, released
 
 
 def _running(column: str, out: str):
@@ -27,14 +28,16 @@ def _running(column: str, out: str):
     return run
 
 
-def range_sorted(df: DataFrame, order: list[Column], value: str, then: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """``df`` range-sorted, mapped by ``then`` (which must keep the order of
-    rows) and written, with ``part`` (the range partition) and ``local_start``
-    (sum of ``value`` before the row, in its partition)."""
+def range_sorted(df: DataFrame, order: list[Column], value: str, then: Kernel | None = None, schema: str = "") -> DataFrame:
+    """``df`` range-sorted, mapped by the kernel ``then`` to ``schema`` (in the
+    same Python worker; it must keep the order of rows) and written, with
+    ``part`` (the range partition) and ``local_start`` (sum of ``value`` before
+    the row, in its partition)."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ranged = (then(ranged) if then else ranged).withColumn("part", F.spark_partition_id())
-    schema = T.StructType([*ranged.schema.fields, T.StructField("local_start", T.LongType())])
-    return table(ranged.mapInArrow(_running(value, "local_start"), schema), "ranged")
+    sums = _running(value, "local_start")
+    fields = T.StructType.fromDDL(schema).fields if then else ranged.schema.fields
+    mapped = ranged.mapInArrow(released(lambda batches: sums(then(batches) if then else batches)), T.StructType([*fields, T.StructField("local_start", T.LongType())]))
+    return table(mapped.withColumn("part", F.spark_partition_id()), "ranged")
 
 
 def starts(ranged: DataFrame, value: str, out: str = "start") -> DataFrame:
