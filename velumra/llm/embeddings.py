@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import table
+from ..plans.memory import released
 from .words import mix
 
 COSINE = 0.95
@@ -153,15 +154,15 @@ def near_pairs(
     named = plain.withColumns({"pa": F.xxhash64("embedding"), "pb": F.xxhash64("embedding", F.lit(1))})
     firsts = table(named.groupBy("pa", "pb").agg(F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding")), "vectors")
     # Zero-length and unusable vectors fall out of ``usable``.
-    homes = firsts.mapInArrow(_hashed(tables, blocks, probes, scale, True), "key bigint, own bigint")
-    asks = firsts.mapInArrow(_hashed(tables, blocks, probes, scale, False), "key bigint, asks bigint")
+    homes = firsts.mapInArrow(released(_hashed(tables, blocks, probes, scale, True)), "key bigint, own bigint")
+    asks = firsts.mapInArrow(released(_hashed(tables, blocks, probes, scale, False)), "key bigint, asks bigint")
     candidates = homes.join(asks, "key").where("own != asks").select(F.least("own", "asks").alias("a"), F.greatest("own", "asks").alias("b")).distinct()
     reps = firsts.select("rep", "embedding")
     found = (
         candidates.join(reps.select(F.col("rep").alias("a"), F.col("embedding").alias("x")), "a")
         .join(reps.select(F.col("rep").alias("b"), F.col("embedding").alias("y")), "b")
         .select("a", "b", "x", "y")
-        .mapInArrow(_cosines(cosine), "a bigint, b bigint, cosine double")
+        .mapInArrow(released(_cosines(cosine)), "a bigint, b bigint, cosine double")
         .groupBy("a", "b")
         .agg(F.max("cosine").alias("cosine"))
     )

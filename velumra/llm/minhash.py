@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import weak_components
 from ..plans.lineage import table
+from ..plans.memory import released
 from .words import WordHashes, hashed, mix, shingles, unused
 
 BINS = 256
@@ -147,7 +148,7 @@ def near_duplicates(
     an empty table gives no group; other columns are ignored.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = table(texts.mapInArrow(_signatures(shingle, bins), "doc_id bigint, print_a bigint, print_b bigint, sig binary"), "signed")
+    signed = table(texts.mapInArrow(released(_signatures(shingle, bins)), "doc_id bigint, print_a bigint, print_b bigint, sig binary"), "signed")
     firsts = signed.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("hub"), F.first("sig").alias("sig"))
     firsts = table(firsts, "firsts")
     copies = signed.select("doc_id", "print_a", "print_b").join(firsts.drop("sig"), ["print_a", "print_b"]).where("doc_id != hub").select("doc_id", "hub").distinct()
@@ -155,19 +156,19 @@ def near_duplicates(
     sigs = firsts.select(F.col("hub").alias("doc_id"), "sig")
     hub = F.min("doc_id").over(Window.partitionBy("key"))
     buckets = table(
-        sigs.mapInArrow(_bands(rows), "key bigint, doc_id bigint").withColumn("hub", hub).where("doc_id != hub"), "buckets"
+        sigs.mapInArrow(released(_bands(rows)), "key bigint, doc_id bigint").withColumn("hub", hub).where("doc_id != hub"), "buckets"
     )
     pairs = buckets.select("doc_id", "hub").distinct()
     tried = table(
         pairs.join(sigs.withColumnRenamed("sig", "sig_a"), "doc_id")
         .join(sigs.select(F.col("doc_id").alias("hub"), F.col("sig").alias("sig_b")), "hub")
-        .mapInArrow(_alike(threshold), "doc_id bigint, hub bigint, alike boolean")
+        .mapInArrow(released(_alike(threshold)), "doc_id bigint, hub bigint, alike boolean")
         .groupBy("doc_id", "hub")
         .agg(F.max("alike").alias("alike")),
         "tried",
     )
     failed = buckets.join(tried.where("NOT alike").select("doc_id", "hub"), ["doc_id", "hub"], "left_semi").select("key", "doc_id")
-    led = failed.join(sigs, "doc_id").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_lead(threshold), "doc_id bigint, hub bigint")
+    led = failed.join(sigs, "doc_id").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(released(_lead(threshold)), "doc_id bigint, hub bigint")
     edges = copies.unionByName(tried.where("alike").select("doc_id", "hub")).unionByName(led)
     groups = weak_components(edges, "doc_id", "hub")
     return groups.select(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.memory import released
 from ..plans.prefix import range_sorted, starts
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -164,10 +165,10 @@ def pack(docs: DataFrame, ranks_path: str = RANKS, window: int = WINDOW, eos: in
     kind = "<u2" if max([eos or 0, *known.values()]) < 65536 else "<u4"
     ranks = spark.sparkContext.broadcast(known)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tokenise = lambda df: df.mapInArrow(_tokenise(ranks, eos, kind), "doc_id bigint, n bigint, ids binary")
-    placed = starts(range_sorted(texts, [F.col("doc_id"), F.col("text")], "n", tokenise), "n").select("doc_id", "start", "ids")
-    whole = placed.mapInArrow(_cut(window, True, kind), CUT)
-    pieces = placed.mapInArrow(_cut(window, False, kind), CUT)
+    ranged = range_sorted(texts, [F.col("doc_id"), F.col("text")], "n", _tokenise(ranks, eos, kind), "doc_id bigint, n bigint, ids binary")
+    placed = starts(ranged, "n").select("doc_id", "start", "ids")
+    whole = placed.mapInArrow(released(_cut(window, True, kind)), CUT)
+    pieces = placed.mapInArrow(released(_cut(window, False, kind)), CUT)
     ordered = F.array_sort(F.collect_list(F.struct("offset", "n", "tokens", "docs")))
     joined = pieces.groupBy("window_id").agg(ordered.alias("p")).select(
         "window_id",

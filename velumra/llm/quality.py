@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import released
 from .words import unused
 
 #: The bound on labelled rows that the model is fitted on, taken in order of a hash of doc_id.
@@ -162,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         .limit(sample)
     )
     # At most ``sample`` pairs of numbers.
-    rows = _plain(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(_featured, "doc_id long, good int, index binary, value binary").collect()
+    rows = _plain(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(released(_featured), "doc_id long, good int, index binary, value binary").collect()
     rows = sorted((d, g, bytes(i), bytes(v)) for d, g, i, v in map(tuple, rows))
     return fit([(np.frombuffer(i, np.int32), np.frombuffer(v, np.float32)) for _, _, i, v in rows], np.array([g > 0 for _, g, _, _ in rows], int))
 
@@ -190,7 +191,7 @@ def scores(docs: DataFrame, model: Machine) -> DataFrame:
     """(doc_id, score) for every row of ``docs``. A null text counts as empty,
     null metadata as the value "None"; repeated rows score alike; an empty
     table gives none; other columns are ignored."""
-    return _plain(docs).mapInArrow(_scored(_broadcast(docs, model), "score", ["text", "lang", "source"]), "doc_id bigint, score double")
+    return _plain(docs).mapInArrow(released(_scored(_broadcast(docs, model), "score", ["text", "lang", "source"])), "doc_id bigint, score double")
 
 
 def passed(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -207,5 +208,5 @@ def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     score, *read = unused(docs.columns, "__score", "__text", "__lang", "__source")
     named = docs.select("*", *(F.col(c).cast("string").alias(n) for c, n in zip(("text", "lang", "source"), read)))
     schema = docs.withColumn(score, F.lit(0.0)).schema
-    judged = named.mapInArrow(_scored(_broadcast(docs, model), score, read), schema)
+    judged = named.mapInArrow(released(_scored(_broadcast(docs, model), score, read)), schema)
     return judged.where(F.col(score) >= model.threshold).drop(score)

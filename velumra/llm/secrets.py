@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import released
 from .forest import Forest, grow
 from .words import unused
 
@@ -252,7 +253,7 @@ def findings(docs: DataFrame, forest: Forest | None = None, threshold: float = T
     columns are ignored. Places count characters of the whole text."""
     model = docs.sparkSession.sparkContext.broadcast(forest or train())
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("source").cast("string").alias("source"))
-    return named.mapInArrow(_scan(model, threshold), "doc_id bigint, begin int, end int, candidate string, score double, is_secret boolean")
+    return named.mapInArrow(released(_scan(model, threshold)), "doc_id bigint, begin int, end int, candidate string, score double, is_secret boolean")
 
 
 def redacted_documents(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -262,7 +263,7 @@ def redacted_documents(docs: DataFrame, forest: Forest | None = None, threshold:
     text, source, clean, hits = names = unused(docs.columns, "__text", "__source", "__clean", "__hits")
     named = docs.select("*", F.col("text").cast("string").alias(text), F.col("source").cast("string").alias(source))
     schema = named.withColumns({clean: F.lit(None).cast("string"), hits: F.lit(0)}).schema
-    done = named.mapInArrow(_scan(model, threshold, names), schema)
+    done = named.mapInArrow(released(_scan(model, threshold, names)), schema)
     hit = F.col(hits) > 0
     changed = {"text": F.when(hit, F.col(clean)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:

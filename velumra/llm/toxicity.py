@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.memory import released
 from .words import WORDS
 
 #: Bounds on the labelled documents that the dictionaries are trained on, in order of a hash of doc_id.
@@ -163,7 +164,7 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
     other columns are ignored."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return named.mapInArrow(_scored(kept), "doc_id bigint, score double, toxic boolean")
+    return named.mapInArrow(released(_scored(kept)), "doc_id bigint, score double, toxic boolean")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
