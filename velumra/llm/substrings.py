@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import weak_components
 from ..plans.lineage import table
+from ..plans.memory import released
 from .minhash import one_permutation
 from .words import WORDS, Blocks, WordHashes, mix, shingles, unblock
 
@@ -23,59 +24,66 @@ SHINGLE, BINS, ROWS = 2, 18, 3
 SIMILAR = 0.7
 #: Repeated paragraphs side by side are one passage; shorter ones don't count.
 PASSAGE = 25
-#: Bits of the filter that spares texts without candidates; too few cost time, not results.
+#: Bits, a power of two, of the filter that spares texts without candidates; too few cost time, not results.
 FILTER_BITS = 1 << 24
-STOP = re.compile(r"[.!?…。！？]+[\"'»”)\]]*\s+|\n+")
+#: Begins with one set of characters, so that the scan skips all others.
+STOP = re.compile(r"[.!?…。！？\n](?:(?<=\n)\n*|(?<!\n)[.!?…。！？]*[\"'»”)\]]*\s+)")
+MARKED = re.compile(r"\w+|\0")
 CUT = np.uint64(15)
 
 
-def paragraphs(text: str, known: WordHashes) -> list[tuple[int, int, np.ndarray]]:
-    """(begin, end, word hashes) of the stretches that ``text`` is cut into.
-    Where they end depends on nearby words only, so a passage is cut alike
+def paragraphs(text: str, known: WordHashes) -> tuple[list[int], list[int], np.ndarray]:
+    """The stretches that ``text`` is cut into, as their ends (where one ends
+    the next begins), their numbers of words, and the hashes of all words in a
+    row. Where they end depends on nearby words only, so a passage is cut alike
     wherever it stands, but for its first and last stretch."""
-    out, begin, at, held = [], 0, 0, []
-
-    def close(end: int) -> None:
-        nonlocal begin, held
-        if held:
-            out.append((begin, end, np.concatenate(held)))
-        begin, held = end, []
-
-    for stop in [*(m.end() for m in STOP.finditer(text)), len(text)]:
-        piece = text[at:stop]
-        low = piece.lower()
-        words = WORDS.findall(low)
-        h = known.many(words)
-        if len(words) > LONGEST:
-            ends = [m.end() for m in WORDS.finditer(piece)]
-            if len(ends) != len(words):  # lower case changed the words' number
-                ends = [round(len(piece) * (k + 1) / len(words)) for k in range(len(words))]
-            last, before = 0, sum(map(len, held))
-            for k in np.flatnonzero((mix(h) & CUT) == 0):
-                if k + 1 - last + before >= LEAST:
-                    held.append(h[last : k + 1])
-                    close(at + ends[k])
-                    last, before = k + 1, 0
-            h = h[last:]
-        if len(h):
-            held.append(h)
-        if sum(map(len, held)) >= LEAST:
-            close(stop)
-        at = stop
-    close(len(text))
-    return out
+    stops = [m.end() for m in STOP.finditer(text)]
+    stops.append(len(text))
+    # A word of its own stands for each stop, so the text is read once.
+    h = known.many(MARKED.findall(STOP.sub(" \0 ", text.lower().replace("\0", "\1"))))
+    marks = np.flatnonzero(h == known.many(["\0"]))
+    upto = (marks - np.arange(len(marks))).tolist()
+    h = np.delete(h, marks) if len(marks) else h
+    upto.append(len(h))
+    ends, counts, first, seen, at = [], [], 0, 0, 0
+    for stop, n in zip(stops, upto):
+        if n - seen > LONGEST:
+            piece = text[at:stop]
+            places = [m.end() for m in WORDS.finditer(piece)]
+            if len(places) != n - seen:  # lower case changed the words' number
+                places = [round(len(piece) * (k + 1) / (n - seen)) for k in range(n - seen)]
+            for k in np.flatnonzero((mix(h[seen:n]) & CUT) == 0).tolist():
+                if seen + k + 1 - first >= LEAST:
+                    ends.append(at + places[k])
+                    counts.append(seen + k + 1 - first)
+                    first = seen + k + 1
+        if n - first >= LEAST:
+            ends.append(stop)
+            counts.append(n - first)
+            first = n
+        seen, at = n, stop
+    if len(h) > first:
+        ends.append(len(text))
+        counts.append(len(h) - first)
+    return ends, counts, h
 
 
 def _cut(batch: pa.RecordBatch, known: WordHashes):
-    """All paragraphs of a batch: owner row, number, begin, end, hashes in a
-    row, where each one's begin, and prints of the word sequences."""
-    found = [(i, k, *p) for i, t in enumerate(batch.column("text").to_pylist()) if t for k, p in enumerate(paragraphs(t, known))]
-    lengths = np.array([len(p[4]) for p in found], np.int64)
+    """All paragraphs of a batch: (owner row, number, begin, end), numbers of
+    words, hashes in a row, where each one's begin, and prints of the word sequences."""
+    found = [paragraphs(t, known) if t else ([], [], np.empty(0, np.uint64)) for t in batch.column("text").to_pylist()]
+    each = np.array([len(f[0]) for f in found], np.int64)
+    begin = np.concatenate([[0], np.cumsum(each)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(found)), each)
+    end = np.array([e for f in found for e in f[0]], np.int64)
+    start = np.concatenate([[0], end[:-1]]).astype(np.int64)[: len(end)]
+    start[begin[:-1][each > 0]] = 0
+    lengths = np.array([n for f in found for n in f[1]], np.int64)
     first = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
-    h = np.concatenate([p[4] for p in found]) if found else np.empty(0, np.uint64)
+    h = np.concatenate([f[2] for f in found]) if found else np.empty(0, np.uint64)
     place = (np.arange(len(h)) - np.repeat(first[:-1], lengths)).astype(np.uint64)
-    prints = mix(np.add.reduceat(mix(mix(h) + place * np.uint64(0x9E3779B97F4A7C15)), first[:-1])) if found else np.empty(0, np.uint64)
-    return found, lengths, h, first, prints
+    prints = mix(np.add.reduceat(mix(mix(h) + place * np.uint64(0x9E3779B97F4A7C15)), first[:-1])) if len(lengths) else np.empty(0, np.uint64)
+    return (owner, np.arange(len(owner)) - begin[owner], start, end), lengths, h, first, prints
 
 
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +92,8 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, whole.num_rows, 512):
             batch = whole.slice(k, 512)
             found, lengths, _, _, prints = _cut(batch, known)
-            ids = batch.column("doc_id").take(pa.array([p[0] for p in found], pa.int64()))
-            columns = [pa.array(prints.view(np.int64)), ids, *(pa.array([p[j] for p in found], pa.int32()) for j in (1, 2, 3)), pa.array(lengths.astype(np.int32))]
+            ids = batch.column("doc_id").take(pa.array(found[0]))
+            columns = [pa.array(prints.view(np.int64)), ids, *(pa.array(x.astype(np.int32)) for x in (*found[1:], lengths))]
             yield pa.RecordBatch.from_arrays(columns, names=["print", "doc_id", "unit", "begin", "end", "words"])
 
 
@@ -122,27 +130,26 @@ def _stars(found: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0].copy().view(np.int64)), "b": pa.array(pairs[:, 1].copy().view(np.int64))})
 
 
-def _slots(prints: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(prints + np.uint64(77)) % np.uint64(bits)).astype(np.int64)
+def _marks(prints: DataFrame, bits: int) -> bytes:
+    """A bit for the low bits of each print, as packed bytes. Spark merges the
+    bitmaps, so the driver gets ``bits`` bits in all at any amount of text."""
+    slot = F.col("print").bitwiseAND(F.lit(bits - 1)) + 1
+    parts = prints.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("marks")).collect()
+    width = 4096
+    out = bytearray(-(-bits // (8 * width)) * width)
+    for row in parts:
+        out[(row.part - 1) * width : row.part * width] = row.marks
+    return bytes(out)
 
 
-def _marked(bits: int):
+def _shingled(marks, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(bits, bool)
-        for batch in batches:
-            marks[_slots(batch.column("print").to_numpy().view(np.uint64), bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(marks).tobytes()], pa.binary())], names=["marks"])
-
-    return run
-
-
-def _shingled(marks):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wanted = WordHashes(), np.unpackbits(np.frombuffer(marks.value, np.uint8)).view(bool)
+        known, wanted = WordHashes(), np.unpackbits(np.frombuffer(marks.value, np.uint8), bitorder="little").view(bool)
+        low = np.uint64(bits - 1)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 _, lengths, h, first, prints = _cut(whole.slice(k, 512), known)
-                hit = wanted[_slots(prints, len(wanted))]
+                hit = wanted[(prints & low).astype(np.int64)]
                 if not hit.any():
                     continue
                 s, of = shingles(h, first, SHINGLE)
@@ -189,23 +196,19 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int =
     columns are ignored. Places count characters of the whole text."""
     spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = table(texts.mapInArrow(_listed, "print bigint, doc_id bigint, unit int, begin int, end int, words int"), "paragraphs")
+    units = table(texts.mapInArrow(released(_listed), "print bigint, doc_id bigint, unit int, begin int, end int, words int"), "paragraphs")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tied = table(texts.mapInArrow(_banded(buckets), Blocks.SCHEMA).groupBy("bucket").applyInArrow(_stars, "a bigint, b bigint").distinct(), "ties")
+    tied = table(texts.mapInArrow(released(_banded(buckets)), Blocks.SCHEMA).groupBy("bucket").applyInArrow(_stars, "a bigint, b bigint").distinct(), "ties")
     # A bit map of fixed size; the join below is what decides.
     both = tied.select(F.col("a").alias("print")).unionByName(tied.select(F.col("b").alias("print")))
-    maps = both.mapInArrow(_marked(filter_bits), "marks binary").select(F.col("marks")).toLocalIterator()
-    marks = np.zeros(filter_bits // 8, np.uint8)
-    for row in maps:
-        marks |= np.frombuffer(bytes(row.marks), np.uint8)
-    wanted = spark.sparkContext.broadcast(marks.tobytes())
-    grams = texts.mapInArrow(_shingled(wanted), "print bigint, grams binary").groupBy("print").agg(F.first("grams").alias("grams"))
+    wanted = spark.sparkContext.broadcast(_marks(both, filter_bits))
+    grams = texts.mapInArrow(released(_shingled(wanted, filter_bits)), "print bigint, grams binary").groupBy("print").agg(F.first("grams").alias("grams"))
     grams = table(grams, "grams")
     near = (
         tied.join(grams.select(F.col("print").alias("a"), F.col("grams").alias("x")), "a")
         .join(grams.select(F.col("print").alias("b"), F.col("grams").alias("y")), "b")
         .select("a", "b", "x", "y")
-        .mapInArrow(_similar(similar), "a bigint, b bigint")
+        .mapInArrow(released(_similar(similar)), "a bigint, b bigint")
     )
     groups = weak_components(near, "a", "b").select(F.col("node").alias("print"), "component")
     prints = units.groupBy("print").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max("doc_id").alias("last"))
