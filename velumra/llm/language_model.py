@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import table
+from ..plans.memory import released
 from .words import WORDS, Blocks, mix, unblock
 
 #: The most frequent words have ids of their own, as many as this at most; all others are one unknown word.
@@ -77,7 +78,7 @@ def _pairs(words, held: int, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known((w, k + 2) for k, w in enumerate(words.value))
-        blocks = Blocks(buckets, COLUMNS, 1_500_000)
+        blocks = Blocks(buckets, COLUMNS, 800_000)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
@@ -241,7 +242,7 @@ def scores(docs: DataFrame, vocabulary: int = VOCABULARY, held: int = HELD) -> D
     are ignored."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = texts.mapInArrow(_counted(held), "word string, n long, h long, e long, eh long").groupBy("word")
+    counts = texts.mapInArrow(released(_counted(held)), "word string, n long, h long, e long, eh long").groupBy("word")
     counts = table(counts.agg(*(F.sum(c).alias(c) for c in ("n", "h", "e", "eh"))).withColumn("all", F.col("n") + F.col("h")), "words")
     # The number of words of each frequency; frequencies above a million count as one.
     sizes = counts.groupBy(F.least("all", F.lit(1_000_000)).alias("f")).count().orderBy(F.desc("f")).collect()
@@ -265,11 +266,11 @@ def scores(docs: DataFrame, vocabulary: int = VOCABULARY, held: int = HELD) -> D
     known = spark.sparkContext.broadcast([r[0] for r in top])
     p0 = 1.0 / (len(top) + 1)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = texts.mapInArrow(_pairs(known, held, buckets), Blocks.SCHEMA).repartition("bucket")
-    grid = blocks.mapInArrow(_held(model, held), HISTOGRAM).groupBy("s", "a", "b").agg(*(F.sum(c).alias(c) for c in ("w", "p2", "p1")))
+    blocks = texts.mapInArrow(released(_pairs(known, held, buckets)), Blocks.SCHEMA).repartition("bucket")
+    grid = blocks.mapInArrow(released(_held(model, held)), HISTOGRAM).groupBy("s", "a", "b").agg(*(F.sum(c).alias(c) for c in ("w", "p2", "p1")))
     start = spark.createDataFrame([(-1, 0, 0, 1.0, 0.0, 0.0)], HISTOGRAM)  # so that there is a row even without held-out text
     lambdas = grid.unionByName(start).withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_learned_all(p0), "lambdas binary")
-    scored = blocks.crossJoin(F.broadcast(lambdas)).mapInArrow(_scored(model, p0), "doc_id bigint, bits double, words bigint")
+    scored = blocks.crossJoin(F.broadcast(lambdas)).mapInArrow(released(_scored(model, p0)), "doc_id bigint, bits double, words bigint")
     per_word = F.col("bits") / F.col("n_words")
     return (
         scored.groupBy("doc_id")
