@@ -106,7 +106,7 @@ def encode_counts(spark, sf_dir):
 
 @query
 def doc_cosine(spark, sf_dir):
-    return text.similar_documents(_documents(spark, sf_dir), 0.8)
+    return text.similar_documents(_documents(spark, sf_dir), 0.95)
 
 
 def _edges(edges: DataFrame) -> DataFrame:

@@ -170,7 +170,7 @@ SELECT doc_id, word_idx, tf FROM counts JOIN vocab USING (word)"""),
   SELECT doc_id, word, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS w FROM counts
 )
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(sum(a.w * b.w), 6) AS cosine
-FROM unit a JOIN unit b USING (word) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= 0.8"""),
+FROM unit a JOIN unit b USING (word) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= 0.95"""),
     "graph_upsert_nodes": f"""WITH log AS (
   SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'C' ELSE 'c' END || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS id, o_orderpriority AS data, o_orderkey AS seq FROM orders
 )
