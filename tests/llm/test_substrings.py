@@ -92,6 +92,36 @@ def test_query_against_all_pairs(spark):
     assert want and len(got & want) >= 0.9 * len(want) and len(places(got) & places(want)) >= 0.95 * len(places(got) | places(want))
 
 
+def test_near_pairs_in_crowded_buckets(spark):
+    """Pairs of near paragraphs, all with the same beginning: no pair is like
+    the others, but they share buckets."""
+    rng, rows = random.Random(11), []
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    start = [word() for _ in range(25)]
+    for k in range(150):
+        own = [word() for _ in range(6)]
+        for d, change in ((2 * k, ()), (2 * k + 1, (1, 3))):
+            rows.append((d, " ".join(start + [word() if i in change else w for i, w in enumerate(own)]) + "."))
+    want = plain(rows)
+    got = {tuple(r) for r in substrings.repeated_passages(brute.documents(spark, rows)).collect()}
+    assert len(want) == 300 and len(got & set(want)) >= 0.97 * len(want)
+
+
+def test_links_connect_as_all_pairs_do():
+    import numpy as np
+
+    rng = random.Random(5)
+    for _ in range(50):
+        base = rng.sample(range(60), 24)
+        sets = [set(base) ^ set(rng.sample(range(60), rng.randint(0, 9))) for _ in range(30)]
+        hub, rest = sets[0], sets[1:]
+        alike = [brute.jaccard(hub, x) >= 0.7 for x in rest]
+        got = substrings.links(list(range(1, 30)), alike, [np.array(sorted(x), np.uint64) for x in rest], 0.7)
+        assert all(brute.jaccard(sets[a], sets[b]) >= 0.7 for a, b in got)
+        every = [(a, b) for a in range(30) for b in range(a) if brute.jaccard(sets[a], sets[b]) >= 0.7]
+        assert brute.groups(got + [(0, k + 1) for k, yes in enumerate(alike) if yes]) == brute.groups(every)
+
+
 def test_lines_without_stops(spark):
     rng = random.Random(3)
     passage = " ".join("".join(rng.choices("klmnopq", k=5)) for _ in range(160))

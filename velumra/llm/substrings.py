@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -99,7 +100,7 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _banded(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, blocks = WordHashes(), Blocks(buckets, ["<u8", "<u8"])
+        known, blocks = WordHashes(), Blocks(buckets, ["<u8", "<u8"], 800_000)
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 _, lengths, h, first, prints = _cut(whole.slice(k, 512), known)
@@ -119,15 +120,14 @@ def _banded(buckets: int):
 
 
 def _stars(found: pa.Table) -> pa.Table:
-    """Ties of each print in a bucket of equal band keys to the least one."""
+    """Ties of each print in a bucket of equal band keys to the least one, with the key."""
     key, print_ = unblock(found, ["<u8", "<u8"])
     order = np.lexsort((print_, key))
     key, print_ = key[order], print_[order]
     new = np.diff(key, prepend=~key[:1]) != 0
     hub = print_[new][np.cumsum(new) - 1] if len(key) else print_
-    apart = print_ != hub
-    pairs = np.unique(np.stack([print_[apart], hub[apart]], 1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0].copy().view(np.int64)), "b": pa.array(pairs[:, 1].copy().view(np.int64))})
+    apart = (print_ != hub) & (np.diff(print_, prepend=~print_[:1]) != 0)
+    return pa.table({n: pa.array(x[apart].view(np.int64)) for n, x in (("key", key), ("a", print_), ("b", hub))})
 
 
 def _marks(prints: DataFrame, bits: int) -> bytes:
@@ -171,7 +171,70 @@ def _similar(least: float):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 yes.append(both >= least * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(yes, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], names=["a", "b", "alike"])
+
+    return run
+
+
+def links(prints: list[int], alike: list[bool], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs that connect all of a bucket that pairs of at least ``least``
+    connect, where those ``alike`` are connected by the hub already. Exact:
+    two such sets share one of each one's rarest members, as many as may miss."""
+    sizes = np.array([len(x) for x in sets])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    _, gram, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    gram = gram[np.lexsort((gram, count[gram], np.repeat(np.arange(len(sets)), sizes)))]
+    top, out, where = list(range(len(sets))), [], {}
+    hub = next((i for i, yes in enumerate(alike) if yes), None)
+    own: list[set[int]] = []
+
+    def find(i: int) -> int:
+        while top[i] != i:
+            top[i] = i = top[top[i]]
+        return i
+
+    for i, yes in enumerate(alike):
+        if yes:
+            top[i] = hub
+    for i, n in enumerate(sizes.tolist()):
+        mine = gram[first[i] : first[i + 1]]
+        own.append(set(mine.tolist()))
+        head = mine[: n - math.ceil(least * n - 1e-9) + 1]
+        head = head[count[head] > 1].tolist()
+        for j in {j for g in head for j in where.get(g, ())}:
+            if find(i) != find(j):
+                both = len(own[i] & own[j])
+                if both >= least * (len(own[i]) + len(own[j]) - both):
+                    top[find(i)] = find(j)
+                    out.append((prints[i], prints[j]))
+        for g in head:
+            where.setdefault(g, []).append(i)
+    return out
+
+
+def _linked(least: float):
+    """Of rows in order of key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows = None, []
+
+        def pairs() -> list[tuple[int, int]]:
+            prints, alike, raw = zip(*rows)
+            return links(prints, alike, [np.frombuffer(x, np.uint64) for x in raw], least) if len(rows) > 1 else []
+
+        def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            edges = []
+            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "alike", "grams"))):
+                if k != key:
+                    edges += pairs() if rows else []
+                    key, rows = k, []
+                rows.append(row)
+            yield batch_of(edges)
+        if rows:
+            yield batch_of(pairs())
 
     return run
 
@@ -183,8 +246,9 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int =
     Texts are cut into paragraphs at ends of sentences and lines. Paragraphs of
     one word sequence have one 64-bit print. Prints that share a MinHash band
     are tied to the least of the bucket, and a tie holds when the exact Jaccard
-    index of their word pairs reaches ``similar``. Clusters are the connected
-    components; one that stays inside a single document is none. Neighbouring
+    index of their word pairs reaches ``similar``. In a bucket where a tie fails
+    all others are compared too, but for those that are connected already, so
+    it is connected as by all its pairs. Clusters are the connected components; one that stays inside a single document is none. Neighbouring
     paragraphs of clusters make a passage if they have ``passage`` words
     together. ``first_doc_id`` is the least document in which any of it
     stands; ``remove`` is true unless each paragraph is the first of its cluster.
@@ -198,18 +262,26 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int =
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     units = table(texts.mapInArrow(released(_listed), "print bigint, doc_id bigint, unit int, begin int, end int, words int"), "paragraphs")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tied = table(texts.mapInArrow(released(_banded(buckets)), Blocks.SCHEMA).groupBy("bucket").applyInArrow(_stars, "a bigint, b bigint").distinct(), "ties")
+    tied = table(texts.mapInArrow(released(_banded(buckets)), Blocks.SCHEMA).groupBy("bucket").applyInArrow(_stars, "key bigint, a bigint, b bigint"), "ties")
     # A bit map of fixed size; the join below is what decides.
     both = tied.select(F.col("a").alias("print")).unionByName(tied.select(F.col("b").alias("print")))
     wanted = spark.sparkContext.broadcast(_marks(both, filter_bits))
     grams = texts.mapInArrow(released(_shingled(wanted, filter_bits)), "print bigint, grams binary").groupBy("print").agg(F.first("grams").alias("grams"))
     grams = table(grams, "grams")
-    near = (
-        tied.join(grams.select(F.col("print").alias("a"), F.col("grams").alias("x")), "a")
+    tried = table(
+        tied.select("a", "b")
+        .distinct()
+        .join(grams.select(F.col("print").alias("a"), F.col("grams").alias("x")), "a")
         .join(grams.select(F.col("print").alias("b"), F.col("grams").alias("y")), "b")
         .select("a", "b", "x", "y")
-        .mapInArrow(released(_similar(similar)), "a bigint, b bigint")
+        .mapInArrow(released(_similar(similar)), "a bigint, b bigint, alike boolean"),
+        "tried",
     )
+    members = table(tied.join(tried, ["a", "b"]).select("key", "a", "alike"), "members")
+    mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("alike").alias("all")).where("n > 1 AND NOT all").select("key")
+    crowds = members.join(mixed, "key").join(grams.withColumnRenamed("print", "a"), "a").repartition("key").sortWithinPartitions("key", "a")
+    linked = table(crowds.mapInArrow(released(_linked(similar)), "a bigint, b bigint").distinct(), "linked")
+    near = tried.where("alike").select("a", "b").unionByName(linked)
     groups = weak_components(near, "a", "b").select(F.col("node").alias("print"), "component")
     prints = units.groupBy("print").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max("doc_id").alias("last"))
     prints = prints.join(groups, "print", "left").where("component IS NOT NULL OR first.doc_id < last").withColumn("cluster", F.coalesce("component", "print"))
