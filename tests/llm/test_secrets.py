@@ -46,6 +46,22 @@ def test_finds_keys_and_leaves_hashes(spark, forest):
     assert KEY not in clean[4].text and clean[2].text == ROWS[1][1] and clean[3].text == ROWS[2][1]
 
 
+def test_unquoted_values_names_and_whole_key_blocks(spark, forest):
+    lines = "\n".join(KEY[4:] + "abc/DEF+" for _ in range(4))
+    block = f"-----BEGIN RSA PRIVATE KEY-----\n{lines}\n-----END RSA PRIVATE KEY-----"
+    rows = [(1, "password: Xk9!2bQz and more"), (2, "my passwd=hT7#kQ2%vB now"), (3, "export AWS_SECRET_ACCESS_KEY=" + KEY[4:]), (4, f"see\n{block}\nbelow"), (5, f"cut off\n-----BEGIN PRIVATE KEY-----\n{lines}"), (6, "password: required for everything")]
+    found = {r.doc_id: r.candidate for r in secrets.findings(brute.documents(spark, rows), forest).where("is_secret").collect()}
+    assert found == {1: "Xk9!2bQz", 2: "hT7#kQ2%vB", 3: KEY[4:], 4: block, 5: rows[4][1][8:]}
+    clean = {r.doc_id: r.text for r in secrets.redacted_documents(brute.documents(spark, rows), forest).collect()}
+    assert clean[3] == "export AWS_SECRET_ACCESS_KEY=<SECRET>" and clean[4] == "see\n<SECRET>\nbelow" and clean[6] == rows[5][1]
+
+
+def test_neighbours_of_a_value_are_candidates_of_their_own():
+    found = lambda text: [m.group() for m in secrets.candidates(text)]
+    assert KEY in found(f"id=5,token={KEY}") and KEY in found(f"url=http://a.example/b?token={KEY}&x=1") and KEY in found(f"{KEY}:8080 open")
+    assert found("key YWJjZGVmZ2hpamtsbW5vcA12==") == ["YWJjZGVmZ2hpamtsbW5vcA12=="]
+
+
 def test_query_equals_plain_scan(spark, forest):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     want = []

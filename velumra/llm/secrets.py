@@ -22,15 +22,18 @@ FINDINGS = 8000
 THRESHOLD = 0.5
 CONTEXT = 64
 
-#: A run of at least 16 key characters with a digit, the marker of a key
-#: block, or a quoted value that is assigned to a name.
+#: A block of a private key to its end (one without an end: with the lines of
+#: base64 that follow), a value that is assigned to a name, quoted or of 8
+#: characters that aren't blank, or a run of at least 16 key characters with a
+#: digit, without the value that it may name. A value ends where the next name begins.
 CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}"
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END [A-Z ]*PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{16,}+)*)"
     r"|(?<=[=:] [\"'])[^\s\"']{8,}(?=[\"'])|(?<=[=:][\"'])[^\s\"']{8,}(?=[\"'])"
+    r"|(?:(?<=[\w\"'][=:])|(?<=[\w\"'][=:] )|(?<=[\w\"'] [=:] )|(?<=[\w\"'] [=:]))(?P<plain>(?!//)[^\s\"'=:](?:(?![&,;?][\w.-]+[=:])[^\s\"']){6,}(?![&,;?][\w.-]+[=:])[^\s\"'.,;:?)\]}>])"
+    r"|(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.-]{16,}+(?:=+(?![^\s\"'=]))?"
 )
 #: Texts without any of these hold no candidate.
-SIGN = re.compile(r"[0-9\"']|-----BEGIN")
+SIGN = re.compile(r"[0-9\"'=:]|-----BEGIN")
 DIGIT = re.compile(r"[0-9]")
 
 
@@ -38,7 +41,7 @@ def candidates(text: str) -> Iterator[re.Match]:
     if SIGN.search(text):
         for m in CANDIDATE.finditer(text):
             quoted = text[m.start() - 1 : m.start()] in ("\"", "'") and m.end() - m.start() >= 8
-            if DIGIT.search(m.group()) or m.group().startswith("-----BEGIN") or (quoted and QUOTED.match(text, m.start())):
+            if m["plain"] or DIGIT.search(m.group()) or m.group().startswith("-----BEGIN") or (quoted and QUOTED.match(text, m.start())):
                 yield m
 
 
@@ -80,7 +83,9 @@ LETTERS = re.compile(r"[A-Za-z]+")
 
 def describe(found: str, before: str, after: str, path: str) -> list[float]:
     """Length, transitions between characters, dictionary coverage, path and
-    neighbouring words of a candidate, as ``NAMES``."""
+    neighbouring words of a candidate, as ``NAMES``. Of a key block its first line."""
+    if found.startswith("-----BEGIN"):
+        found = found[: found.index("-----", 5) + 5]
     n = len(found)
     tally: dict[str, int] = {}
     for c in found:
@@ -162,7 +167,7 @@ def labelled_findings(count: int = 6000, seed: int = 23) -> list[tuple[str, str,
             before, after = lined(lead, tail)
             out.append((found, before, after, path, 1))
         else:
-            kind = rng.randrange(12)
+            kind = rng.randrange(14)
             if kind == 0:
                 found, lead = pick(hexes, 40), rng.choice(["commit ", "revision: ", "merge ", "sha1: ", "commit = \"", "checkout "])
             elif kind == 1:
@@ -186,6 +191,12 @@ def labelled_findings(count: int = 6000, seed: int = 23) -> list[tuple[str, str,
                 found, lead = rng.choice(["<your-token-here>", "xxxxxxxxxxxxxxxx1", "changeme12345678", "EXAMPLE_KEY_1234567", "your_api_key_123456", "0000000000000000", "aaaaaaaaaaaaaaaa0", "1234567890123456"]), rng.choice(["token = \"", "api_key: \"", "password='"])
             elif kind == 10:
                 found, lead, path = pick(hexes, 40), rng.choice(["integrity ", "resolved ", "hash \"", ""]), rng.choice(["package-lock.json", "vendor/list", "test/fixtures"])
+            elif kind == 11:
+                found = rng.choice([w for w in words if len(w) >= 8]) if rng.random() < 0.5 else pick(syllables, rng.randint(4, 8))
+                lead = rng.choice(["token", "secret", "password", "key", "credential", "note", "name", "title", "see"]) + rng.choice([": ", "=", " = ", ":"])
+            elif kind == 12:
+                found = rng.choice([f"{rng.randint(10, 59)}:{rng.randint(10, 59)}.{rng.randint(100, 999)}", pick(string.digits, rng.randint(8, 12)), f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.choice(words)}@{rng.choice(words)}.example"])
+                lead = rng.choice(["date", "time", "10", "order", "phone", "mail", "contact", "number", "size"]) + rng.choice([": ", "=", " = ", ":"])
             else:
                 found, lead = "_".join(rng.choices(words, k=rng.randint(3, 5))) + str(rng.randint(1, 9)), rng.choice(["", "name = \"", "id: ", "key: \""])
             before, after = lined(lead, lead[-1] if lead[-1:] in ("\"", "'") else "")
