@@ -28,12 +28,13 @@ def _running(column: str, out: str):
     return run
 
 
-def range_sorted(df: DataFrame, order: list[Column], value: str, then: Kernel | None = None, schema: str = "") -> DataFrame:
+def range_sorted(df: DataFrame, order: list[Column], value: str, then: Kernel | None = None, schema: str = "", within: tuple[Column, ...] = ()) -> DataFrame:
     """``df`` range-sorted, mapped by the kernel ``then`` to ``schema`` (in the
     same Python worker; it must keep the order of rows) and written, with
     ``part`` (the range partition) and ``local_start`` (sum of ``value`` before
-    the row, in its partition)."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    the row, in its partition). Finding the ranges sends a sample of ``order``
+    to the driver, so wide columns that only break ties belong in ``within``."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order, *within)
     sums = _running(value, "local_start")
     fields = T.StructType.fromDDL(schema).fields if then else ranged.schema.fields
     mapped = ranged.mapInArrow(released(lambda batches: sums(then(batches) if then else batches)), T.StructType([*fields, T.StructField("local_start", T.LongType())]))
