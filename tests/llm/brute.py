@@ -6,6 +6,8 @@ import hashlib
 import math
 from collections import Counter, defaultdict
 
+import xxhash
+
 from velumra.llm.words import WORDS
 
 FIELDS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -113,7 +115,9 @@ def queue(rows, weights, fraction=0.5, seed=17):
 def windows(rows, size, eos, encode):
     """[(tokens, [(doc_id, place in its tokens, place in the window, count)])]."""
     null = lambda x: (x is not None, x if x is not None else 0)
-    order = sorted(rows, key=lambda r: (null(r[0]), (r[1] is not None, (r[1] or "").encode("utf-8", "surrogatepass"))))
+    raw = lambda t: (t or "").encode("utf-8", "surrogatepass")
+    hashed = lambda t: 42 if t is None else int.from_bytes(xxhash.xxh64_digest(raw(t), seed=42), "big", signed=True)
+    order = sorted(rows, key=lambda r: (null(r[0]), hashed(r[1]), r[1] is not None, raw(r[1])))
     stream = [(d, k, t) for d, text, *_ in order for k, t in enumerate([*encode(text or ""), *([] if eos is None else [eos])])]
     out = []
     for at in range(0, len(stream), size):

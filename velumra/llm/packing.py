@@ -143,10 +143,11 @@ def _cut(window: int, whole: bool, kind: str):
 def pack(docs: DataFrame, ranks_path: str = RANKS, window: int = WINDOW, eos: int | None = EOS) -> DataFrame:
     """Cut the concatenation of all documents' tokens into windows.
 
-    Documents follow one another in order of (doc_id, text); each ends with
-    ``eos`` unless that is None. First pass: range-sort, tokenise, and sum in
-    each partition. (Texts are sorted, not their tokens: finding the ranges
-    runs what comes before the sort a second time.) Second pass: the partitions' totals give each document
+    Documents follow one another in order of (doc_id, xxhash64 of the text,
+    text); each ends with ``eos`` unless that is None. First pass: range-sort,
+    tokenise, and sum in each partition. Ranges are cut by doc_id and hash, so
+    the sample that the driver gets holds no text. (Texts are sorted, not their
+    tokens: finding the ranges runs what comes before the sort a second time.) Second pass: the partitions' totals give each document
     its global offset, and offsets give windows. Windows that lie in one task
     are cut there; only the pieces of those that cross a task's edge are
     shuffled and joined.
@@ -165,7 +166,8 @@ def pack(docs: DataFrame, ranks_path: str = RANKS, window: int = WINDOW, eos: in
     kind = "<u2" if max([eos or 0, *known.values()]) < 65536 else "<u4"
     ranks = spark.sparkContext.broadcast(known)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = range_sorted(texts, [F.col("doc_id"), F.col("text")], "n", _tokenise(ranks, eos, kind), "doc_id bigint, n bigint, ids binary")
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    ranged = range_sorted(texts, order, "n", _tokenise(ranks, eos, kind), "doc_id bigint, n bigint, ids binary", (F.col("text"),))
     placed = starts(ranged, "n").select("doc_id", "start", "ids")
     whole = placed.mapInArrow(released(_cut(window, True, kind)), CUT)
     pieces = placed.mapInArrow(released(_cut(window, False, kind)), CUT)
