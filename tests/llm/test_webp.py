@@ -25,13 +25,18 @@ def picture(kind: int, width: int, height: int, seed: int) -> list[int]:
     return p.tolist()
 
 
+def plain(raw, **options):
+    width, height, p = webp.decode(raw, **options)
+    return width, height, p.tolist()
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.sampled_from(WAYS), st.integers(0, 2), st.integers(1, 23), st.integers(1, 23), st.integers(0, 999))
 def test_round_trip(way, kind, width, height, seed):
     p = picture(kind, width, height, seed)
     if 3 in way["transforms"] and len(set(p)) > 256:
         return
-    assert webp.decode(webp.encode(width, height, p, **way)) == (width, height, p)
+    assert plain(webp.encode(width, height, p, **way)) == (width, height, p)
 
 
 @pytest.mark.parametrize("raw", ["UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==", "UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA="])
@@ -46,7 +51,7 @@ def test_every_cut_is_refused_or_whole():
     raw = webp.encode(9, 7, p, transforms=(0, 2), references=True, cache_bits=4)
     for n in range(len(raw)):
         try:
-            assert webp.decode(raw[:n]) == (9, 7, p)
+            assert plain(raw[:n]) == (9, 7, p)
         except webp.Broken:
             pass
     rng = np.random.default_rng(1)
@@ -59,6 +64,31 @@ def test_every_cut_is_refused_or_whole():
             pass
 
 
+def claims(width, height):
+    """A few bytes that stand for a large image of one colour."""
+    sink = webp.Sink()
+    for value, n in ((width - 1, 14), (height - 1, 14), (0, 1), (0, 3), (0, 1), (0, 1), (0, 1)):
+        sink.write(value, n)
+    for s in (9, 8, 7, 255, 0):  # one symbol in each code
+        sink.write(1, 1)
+        sink.write(0, 1)
+        sink.write(1, 1)
+        sink.write(s, 8)
+    raw = b"\x2f" + sink.bytes()
+    raw += b"\0" * (len(raw) & 1)
+    return b"RIFF" + (12 + len(raw)).to_bytes(4, "little") + b"WEBPVP8L" + len(raw).to_bytes(4, "little") + raw
+
+
+def test_images_over_the_limit_are_refused(spark):
+    assert plain(claims(300, 200)) == (300, 200, [0xFF080907] * 60_000)
+    with pytest.raises(webp.Broken, match="over the limit"):
+        webp.decode(claims(16384, 16384))
+    images = spark.createDataFrame([(1, claims(16384, 16384)), (2, claims(20, 10)), (3, claims(21, 10))], "id int, image binary")
+    found = {r.id: r for r in webp.decoded(images, max_pixels=200).collect()}
+    assert found[1].pixels is found[3].pixels is None and "limit" in found[1].error and len(found[2].pixels) == 200
+    assert "limit" in webp.decoded(images).where("id = 1").first().error
+
+
 def test_query_equals_sql(spark):
     assert differences(queries.op2_webp(spark, SF), webp.SQL, SF) == ""
 

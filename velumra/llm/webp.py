@@ -4,6 +4,7 @@ that makes streams with every tool of the format to test it on."""
 from __future__ import annotations
 
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15
 LENGTHS, DISTANCES = 24, 40
 HASH = 0x1E35A7BD
 BLACK = 0xFF000000
+#: An image that says that it is larger is refused before any pixel is read: a few bytes can stand for 2**28.
+MAX_PIXELS = 1 << 24
 PREDICTOR, CROSS, GREEN, PALETTE = range(4)
 
 
@@ -146,7 +149,7 @@ def _ceil(n: int, bits: int) -> int:
     return (n + (1 << bits) - 1) >> bits
 
 
-def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
+def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> array:
     """Prefix codes, back-references and colour cache."""
     cache_bits = bits.read(4) if bits.read(1) else 0
     if cache_bits > 11:
@@ -160,17 +163,17 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
         groups = max(group) + 1
     green = 256 + LENGTHS + (len(cache) if cache_bits else 0)
     codes = [[_read_code(bits, n) for n in (green, 256, 256, 256, DISTANCES)] for _ in range(groups)]
-    out: list[int] = []
-    total, own, symbol = width * height, codes[0], bits.symbol
-    while len(out) < total:
-        at = len(out)
+    total, own, symbol, at = width * height, codes[0], bits.symbol, 0
+    out = array("I", bytes(4 * total))
+    while at < total:
         if group:
             own = codes[group[(at // width >> tile) * across + (at % width >> tile)]]
         s = symbol(own[0])
         if s < 256:
             red = symbol(own[1])
             blue = symbol(own[2])
-            new = [(symbol(own[3]) << 24) | (red << 16) | (s << 8) | blue]
+            out[at] = (symbol(own[3]) << 24) | (red << 16) | (s << 8) | blue
+            n = 1
         elif s < 256 + LENGTHS:
             n = _value(bits, s - 256)
             d = _value(bits, symbol(own[4]))
@@ -181,13 +184,17 @@ def _read_pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
                 d = max(1, x + y * width)
             if d > at or at + n > total:
                 raise Broken("a back-reference leaves the image")
-            new = (out[at - d :] * (n // d + 1))[:n] if d < n else out[at - d : at - d + n]
+            out[at : at + n] = (out[at - d : at] * (n // d + 1))[:n] if d < n else out[at - d : at - d + n]
         else:
-            new = [cache[s - 256 - LENGTHS]]
-        out += new
+            out[at] = cache[s - 256 - LENGTHS]
+            n = 1
         if cache_bits:
-            for p in new:
-                cache[(HASH * p & 0xFFFFFFFF) >> shift] = p
+            if n == 1:
+                cache[(HASH * out[at] & 0xFFFFFFFF) >> shift] = out[at]
+            else:
+                for p in out[at : at + n]:
+                    cache[(HASH * p & 0xFFFFFFFF) >> shift] = p
+        at += n
     return out
 
 
@@ -241,7 +248,7 @@ def predicted(mode: int, l: int, t: int, tr: int, tl: int) -> int:
     return BLACK
 
 
-def _unpredict(p: list[int], width: int, size: int, modes: list[int]) -> list[int]:
+def _unpredict(p: array, width: int, size: int, modes: array) -> array:
     across = _ceil(width, size)
     for at in range(len(p)):
         y, x = divmod(at, width)
@@ -260,34 +267,39 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return (x.astype(np.int64) & 255 ^ 128) - 128
 
 
-def _uncross(p: list[int], width: int, size: int, elements: list[int]) -> list[int]:
+def _packed(x: np.ndarray) -> array:
+    return array("I", x.astype(np.uint32).tobytes())
+
+
+def _uncross(p: array, width: int, size: int, elements: array) -> array:
     x = np.array(p, np.int64)
     at, across = np.arange(len(x)), _ceil(width, size)
     e = np.array(elements, np.int64)[(at // width >> size) * across + (at % width >> size)]
     green = _signed(x >> 8)
     red = ((x >> 16) + (_signed(e) * green >> 5)) & 255
     blue = (x + (_signed(e >> 8) * green >> 5) + (_signed(e >> 16) * _signed(red) >> 5)) & 255
-    return ((x & 0xFF00FF00) | (red << 16) | blue).tolist()
+    return _packed((x & 0xFF00FF00) | (red << 16) | blue)
 
 
-def _ungreen(p: list[int]) -> list[int]:
+def _ungreen(p: array) -> array:
     x = np.array(p, np.int64)
     green = (x >> 8) & 255
-    return ((x & 0xFF00FF00) | (((x >> 16) + green & 255) << 16) | (x + green & 255)).tolist()
+    return _packed((x & 0xFF00FF00) | (((x >> 16) + green & 255) << 16) | (x + green & 255))
 
 
-def _unindex(p: list[int], width: int, height: int, pack: int, table: list[int]) -> list[int]:
+def _unindex(p: array, width: int, height: int, pack: int, table: array) -> array:
     x = np.array(p, np.int64).reshape(height, -1)
     each = 8 >> pack
     column = np.arange(width)
     index = (x[:, column >> pack] >> 8 & 255) >> (each * (column & ((1 << pack) - 1))) & ((1 << each) - 1)
     full = np.zeros(256, np.int64)
     full[: len(table)] = table
-    return full[index].reshape(-1).tolist()
+    return _packed(full[index].reshape(-1))
 
 
-def decode(raw: bytes) -> tuple[int, int, list[int]]:
-    """Width, height and pixels, row by row, each 0xAARRGGBB."""
+def decode(raw: bytes, max_pixels: int = MAX_PIXELS) -> tuple[int, int, array]:
+    """Width, height and pixels, row by row, each 0xAARRGGBB. An image of over
+    ``max_pixels`` is ``Broken``."""
     if len(raw) < 12 or raw[:4] != b"RIFF" or raw[8:12] != b"WEBP":
         raise Broken("no WebP container")
     at, found = 12, None
@@ -300,6 +312,8 @@ def decode(raw: bytes) -> tuple[int, int, list[int]]:
         raise Broken("no lossless image")
     bits = Bits(found[1:])
     width, height = bits.read(14) + 1, bits.read(14) + 1
+    if width * height > max_pixels:
+        raise Broken(f"{width} x {height} pixels are over the limit of {max_pixels}")
     bits.read(1)
     if bits.read(3):
         raise Broken("an unknown version")
@@ -588,47 +602,53 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def tiles(embeddings: DataFrame) -> DataFrame:
     """(vec_id, image): each embedding as a WebP image, 8 pixels wide where
-    that goes; null where there is no value."""
+    that goes. Defined results: a null or empty vector, or one that holds a
+    null, has a null image; a null vec_id stays null; repeated rows repeat
+    their image; an empty table gives none; other columns are ignored."""
     named = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), tile_pixels(F.col("embedding")).alias("pixels"))
     return named.mapInArrow(_written, "vec_id bigint, image binary")
 
 
-def _read(column: str):
+def _read(column: str, max_pixels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 batch = whole.slice(k, 256)
-                out: list[list] = [[], [], [], []]
+                wide, high, pixels, errors = [], [], [], []
                 for raw in batch.column(column).to_pylist():
                     found, why = (None, None, None), None
                     if raw is not None:
                         try:
-                            found = decode(raw)
+                            found = decode(raw, max_pixels)
                         except Broken as e:
                             why = str(e)
-                    for values, value in zip(out, (*found, why)):
+                    for values, value in zip((wide, high, pixels, errors), (*found, why)):
                         values.append(value)
+                some = [p for p in pixels if p is not None]
+                flat = np.concatenate([np.frombuffer(p, np.uint32) for p in some]).astype(np.int64) if some else np.empty(0, np.int64)
+                ends = np.concatenate([[0], np.cumsum([len(p or ()) for p in pixels])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([p is None for p in pixels]))
                 rest = batch.select([c for c in batch.schema.names if c != column])
-                for name, values, kind in zip(("width", "height", "pixels", "error"), out, (pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string())):
-                    rest = rest.append_column(name, pa.array(values, kind))
+                for name, values in (("width", pa.array(wide, pa.int32())), ("height", pa.array(high, pa.int32())), ("pixels", lists), ("error", pa.array(errors, pa.string()))):
+                    rest = rest.append_column(name, values)
                 yield rest
 
     return run
 
 
-def decoded(images: DataFrame, column: str = "image") -> DataFrame:
+def decoded(images: DataFrame, column: str = "image", max_pixels: int = MAX_PIXELS) -> DataFrame:
     """``images`` with ``column`` replaced by width, height, pixels (row by
     row, each 0xAARRGGBB) and error.
 
     Defined results: a null image gives nulls; bytes that are no lossless WebP,
-    or a stream that is broken or cut, give a null image and the reason in
-    ``error``; repeated rows stay; an empty table stays empty. A column of
+    a stream that is broken or cut, or an image of over ``max_pixels`` give a
+    null image and the reason in ``error``; repeated rows stay; an empty table stays empty. A column of
     ``images`` that is named like a new one is replaced by it."""
     new = ("width", "height", "pixels", "error")
     kept = images.select(*[c for c in images.columns if c not in new or c == column])
     kinds = [T.IntegerType(), T.IntegerType(), T.ArrayType(T.LongType()), T.StringType()]
     schema = T.StructType([f for f in kept.schema.fields if f.name != column] + [T.StructField(n, k) for n, k in zip(new, kinds)])
-    return kept.mapInArrow(_read(column), schema)
+    return kept.mapInArrow(_read(column, max_pixels), schema)
 
 
 SQL = """
