@@ -3,27 +3,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import drop, table
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+def _least(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``edges`` with the least ``v`` of each ``u``, and its written table. An
+    aggregate and a join, because a window would gather a hub's edges in one
+    task: the aggregate combines before the shuffle, and the join's hot keys
+    are split by adaptive execution, which needs the written side."""
+    least = table(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    return edges.join(least, "u"), least
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    found = _least(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-    return found.distinct()
+    found, least = _least(both)
+    return found.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), least
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``edges`` run from the greater end to the lesser."""
-    found = _least(edges)
+    found, least = _least(edges)
     others = found.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return others.unionByName(found.select("u", F.col("m").alias("v"))).distinct()
+    return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), least
 
 
 def weak_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -41,7 +46,12 @@ def weak_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     )
     mark = None
     while True:
-        then = table(_small_star(_large_star(now)), "edges")
+        large, used = _large_star(now)
+        middle = table(large, "edges")
+        small, more = _small_star(middle)
+        then = table(small, "edges")
+        for old in (used, more, middle):
+            drop(old)
         seen = then.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop(now)
         now = then

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,7 +18,7 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="velumra-")
         context.setCheckpointDir(named)
@@ -37,8 +38,12 @@ def table(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def fresh(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/velumra/{name}-{uuid.uuid4().hex}"
+    """A path that nothing else uses, in the application's part of the shared
+    folder, which is deleted when the driver ends."""
+    own = f"{shared_folder(spark)}/velumra/{spark.sparkContext.applicationId}"
+    there = spark._jvm.org.apache.hadoop.fs.Path(own)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def drop(df: DataFrame) -> None:
