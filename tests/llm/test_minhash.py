@@ -52,6 +52,32 @@ def test_groups_of_many_copies(spark):
     assert len(found) == 900 and {g for g, _ in found.values()} == {0, 1000, 2000}
 
 
+def test_a_hot_bucket_that_is_not_of_one_group(spark, monkeypatch):
+    """Half of all rows begin alike and are no duplicates of the rest of their
+    buckets, but in pairs of one another; the parts are small."""
+    monkeypatch.setattr(minhash, "PART", 8)
+    start = " ".join(f"same{j}" for j in range(30))
+    rows = [(2 * k + c, f"{start} " + " ".join(f"own{k}x{j}" for j in range(34)) + f" end{c}") for k in range(60) for c in range(2)]
+    found = by_id(minhash.near_duplicates(brute.documents(spark, rows), rows=1))
+    assert found == {d: (d - d % 2, d % 2 == 0) for d in range(120)}
+
+
+def test_chained_rows_connect_as_all_pairs_do():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        base = rng.integers(0, 9, (5, 64)).astype("<u2")
+        sig = np.where(rng.random((50, 64)) < 0.35, rng.integers(0, 9, (50, 64)), base[rng.integers(0, 5, 50)]).astype("<u2")
+        share = (sig[:, None] == sig[None]).mean(2)
+        alike = share[0, 1:] >= 0.5
+        ids = np.concatenate([np.arange(1, 50)[~alike], np.arange(1, 50)])
+        left = np.arange(len(ids)) < (~alike).sum()
+        a, b = minhash.chained(ids, sig[ids], left, ~left, np.concatenate([np.zeros((~alike).sum(), bool), alike]), 0.5)
+        hub = [(0, int(k)) for k in np.flatnonzero(alike) + 1]
+        every = [(i, j) for i in range(50) for j in range(i) if share[i, j] >= 0.5]
+        assert all(share[i, j] >= 0.5 for i, j in zip(a, b))
+        assert brute.groups(hub + [(int(i), int(j)) for i, j in zip(a, b) if i != j]) == brute.groups(every)
+
+
 def test_odd_rows(spark):
     docs = brute.clashing(brute.odd(spark).unionByName(brute.documents(spark, [(11, brute.LONG + " and a little more", "en", "src0"), (12, "One", None, None), (12, "two", None, None)])))
     found = by_id(minhash.near_duplicates(docs))

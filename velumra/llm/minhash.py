@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import weak_components
@@ -18,6 +18,8 @@ BINS = 256
 ROWS = 4
 SHINGLE = 2
 THRESHOLD = 0.5
+#: In a bucket where a tie fails, so many that failed meet so many of the bucket in one step.
+PART = 4096
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -100,29 +102,56 @@ def _alike(threshold: float):
     return run
 
 
-def _lead(threshold: float):
-    """Of rows in order of (key, doc_id): each joins the first leader of its
-    bucket that it is like, or becomes a leader."""
+def chained(ids: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarray, held: np.ndarray, threshold: float) -> tuple[list, list]:
+    """Pairs of a row ``left`` and a row ``right`` whose share of equal minima
+    reaches ``threshold``, which connect all that such pairs connect, given
+    that the rows ``held`` are connected already; fewer pairs than rows."""
+    label = np.arange(len(ids))
+    if held.any():
+        label[held] = np.flatnonzero(held)[0]
+    right = np.flatnonzero(right)
+    docs, hubs = [], []
+    for i in np.flatnonzero(left):
+        others = right[label[right] != label[i]]
+        if not len(others):
+            continue
+        others = others[(sig[others] == sig[i]).mean(1) >= threshold]
+        if len(others):
+            labels, first = np.unique(label[others], return_index=True)
+            docs += [ids[i]] * len(labels)
+            hubs += ids[others[first]].tolist()
+            label[np.isin(label, labels)] = label[i]
+    return docs, hubs
+
+
+def _rest(threshold: float):
+    """Of rows in order of (key, i, j), the part of a bucket in one task: those
+    that failed with the hub meet all of the bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, leaders, names, count = None, np.empty((0, 0), "<u2"), [], 0
-        for batch in batches:
+        place, held = None, []
+
+        def edges(found: list) -> pa.RecordBatch:
             docs, hubs = [], []
-            for key, doc_id, raw in zip(*(batch.column(c).to_pylist() for c in ("key", "doc_id", "sig"))):
-                sig = np.frombuffer(raw, "<u2")
-                if key != bucket:
-                    bucket, leaders, names, count = key, np.empty((8, len(sig)), "<u2"), [], 0
-                alike = np.flatnonzero((leaders[:count] == sig).mean(1) >= threshold) if count else ()
-                if len(alike):
-                    docs.append(doc_id)
-                    hubs.append(names[alike[0]])
-                    continue
-                if count == len(leaders):
-                    leaders = np.concatenate([leaders, np.empty_like(leaders)])
-                leaders[count] = sig
-                names.append(doc_id)
-                count += 1
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hubs, pa.int64())], names=["doc_id", "hub"])
+            for rows in found:
+                ids, side, alike, raw = zip(*rows)
+                sig, side = np.frombuffer(b"".join(raw), "<u2").reshape(len(raw), -1), np.array(side)
+                some = chained(np.array(ids), sig, side == 0, side == 1, np.array(alike, bool), threshold)
+                docs += some[0]
+                hubs += some[1]
+            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(hubs, pa.int64())], names=["doc_id", "hub"])
+
+        for batch in batches:
+            found = []
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc_id", "side", "alike", "sig"))):
+                if (key, i, j) != place:
+                    if held:
+                        found.append(held)
+                    place, held = (key, i, j), []
+                held.append(row)
+            yield edges(found)
+        if held:
+            yield edges([held])
 
     return run
 
@@ -138,11 +167,15 @@ def near_duplicates(
     minima; in each bucket all members are tied to the one of least id only,
     so a bucket of n gives n - 1 candidate edges. An edge holds when the share
     of equal minima reaches ``threshold``. Members that fail with their hub
-    are compared with one another's leaders, each joining the first that it is
-    like or becoming one. Groups are the connected components of edges that hold; the least
+    are compared with all of the bucket that they aren't connected with yet, in
+    parts of ``PART`` by ``PART`` that pass on fewer edges than they have
+    members. Groups are the connected components of edges that hold; the least
     doc_id is kept. With 64 bands of 4, a pair of Jaccard 0.5 collides with
     probability 0.98.
 
+    Skew: hubs are aggregated before the shuffle, joins on hot keys are split
+    by adaptive execution, and no task holds more than two parts of a bucket.
+
     Defined results: a null, empty or wordless text is never a duplicate, nor
     is a document with a null id; rows that repeat a doc_id are one document;
     an empty table gives no group; other columns are ignored.
@@ -154,10 +187,9 @@ def near_duplicates(
     copies = signed.select("doc_id", "print_a", "print_b").join(firsts.drop("sig"), ["print_a", "print_b"]).where("doc_id != hub").select("doc_id", "hub").distinct()
     # A doc_id that is repeated with other texts has several signatures.
     sigs = firsts.select(F.col("hub").alias("doc_id"), "sig")
-    hub = F.min("doc_id").over(Window.partitionBy("key"))
-    buckets = table(
-        sigs.mapInArrow(released(_bands(rows)), "key bigint, doc_id bigint").withColumn("hub", hub).where("doc_id != hub"), "buckets"
-    )
+    banded = sigs.mapInArrow(released(_bands(rows)), "key bigint, doc_id bigint")
+    hubs = table(banded.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_last")).where("hub < _last").select("key", "hub"), "hubs")
+    buckets = table(banded.join(hubs, "key").where("doc_id != hub"), "buckets")
     pairs = buckets.select("doc_id", "hub").distinct()
     tried = table(
         pairs.join(sigs.withColumnRenamed("sig", "sig_a"), "doc_id")
@@ -167,8 +199,17 @@ def near_duplicates(
         .agg(F.max("alike").alias("alike")),
         "tried",
     )
-    failed = buckets.join(tried.where("NOT alike").select("doc_id", "hub"), ["doc_id", "hub"], "left_semi").select("key", "doc_id")
-    led = failed.join(sigs, "doc_id").repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(released(_lead(threshold)), "doc_id bigint, hub bigint")
+    # Buckets of which some fail with the hub. (An id with several signatures has all of them.)
+    members = table(buckets.join(tried, ["doc_id", "hub"]).select("key", "doc_id", "alike").distinct(), "members")
+    mixed = members.groupBy("key").agg(F.count(F.when(~F.col("alike"), 1)).alias("_failed"), F.count("*").alias("_all")).where("_failed > 0 AND _all > 1")
+    mixed = mixed.select("key", F.ceil(F.col("_failed") / PART).cast("int").alias("_is"), F.ceil(F.col("_all") / PART).cast("int").alias("_js"))
+    split = members.join(mixed, "key")
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = split.where("NOT alike").select("key", part("_is").alias("i"), every("_js").alias("j"), "doc_id", F.lit(0).alias("side"), "alike")
+    right = split.select("key", every("_is").alias("i"), part("_js").alias("j"), "doc_id", F.lit(1).alias("side"), "alike")
+    parts = left.unionByName(right).join(sigs, "doc_id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "doc_id", "side")
+    led = parts.mapInArrow(released(_rest(threshold)), "doc_id bigint, hub bigint")
     edges = copies.unionByName(tried.where("alike").select("doc_id", "hub")).unionByName(led)
     groups = weak_components(edges, "doc_id", "hub")
     return groups.select(
@@ -177,7 +218,10 @@ def near_duplicates(
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, without those that a kept near duplicate stands for."""
+    """The rows of ``docs``, all columns, without those that a kept near
+    duplicate stands for. Defined results: rows with a null doc_id and null,
+    empty and wordless texts stay; rows that repeat a doc_id stay or go
+    together; an empty table stays empty; columns may have any other name."""
     (name,) = unused(docs.columns, "__gone_id")
     gone = near_duplicates(docs, **options).where("NOT keep").select(F.col("doc_id").alias(name))
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")
