@@ -45,8 +45,8 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near-duplicate vectors."""
-    return embeddings.near_pairs(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """Every vector with its class of near duplicates and its number of links."""
+    return embeddings.near_classes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
