@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import warnings
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,16 +16,20 @@ from pyspark.sql import functions as F
 from ..plans.memory import released
 from .words import WORDS
 
-#: Bounds on the labelled documents that the dictionaries are trained on, in order of a hash of doc_id.
+#: Bounds on the labelled documents that are trained on, in order of a hash of doc_id.
 TOXIC, ORDINARY = 1024, 3072
 WINDOW = 6
-SIZE = 110_000
+#: Bytes of the dictionaries that are trained on toxic and on ordinary words, and of the ordinary text that follows in both.
+OWN, SHARED = 2048, 100_000
 LEVEL = 12
-HEADER = 512
+#: Length of the segments that the trainer picks, and of what it counts.
+SEGMENT, COUNTED = 16, 8
 #: Steps of the difference of two lengths: LOW bytes or less, to HIGH or more.
 LOW, HIGH = -4, 8
-#: A toxic segment is seen beside so many different words, and so much more often in toxic text.
-SIDES, LIFT = 12, 3.5
+#: Words of toxic documents that the toxic dictionary is trained on are seen beside so many different words, and their log rate is so much higher than in ordinary ones.
+SIDES, LIFT = 6, 3.0
+#: A document is judged by its worst stretch of so many windows.
+STRETCH = 256
 #: A false alarm weighs as much as so many misses.
 ALARM = 4.0
 
@@ -39,10 +44,11 @@ def _segments(word: str) -> set[str]:
     return {word[:k] for k in range(4, min(len(word), 9))} | {word + " "}
 
 
-def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """Words and beginnings of words that toxic text has and ordinary text
-    lacks. Counting different neighbours, not occurrences, keeps the words of
-    one much-copied document out."""
+def toxic_words(toxic: list[str], ordinary: list[str]) -> list[str]:
+    """The words of toxic documents, as often as they stand there, that tell
+    these from ordinary ones: which begin, or end, as ordinary words don't.
+    Counting different neighbours, not occurrences, keeps the words of one
+    much-copied document out."""
     words = [[WORDS.findall(t.lower()) for t in texts] for texts in (toxic, ordinary)]
     totals = [max(1, sum(map(len, w))) for w in words]
     counts = []
@@ -54,19 +60,32 @@ def toxic_segments(toxic: list[str], ordinary: list[str]) -> list[str]:
         counts.append(of)
     lift = lambda n, s: np.log((n + 0.5) / totals[0]) - np.log((counts[1][s] + 0.5) / totals[1])
     likely = {s for s, n in counts[0].items() if n >= SIDES and lift(n, s) > LIFT}
-    sides: dict[str, set[int]] = defaultdict(set)
+    sides: dict[str, set[tuple[str, str]]] = defaultdict(set)
     for text in words[0]:
         for a, b in zip(["", *text], text):
             for s in likely.intersection(_segments(b)):
-                sides[s].add(hash((a, b)))
-    found = [s for s in likely if len(sides[s]) >= SIDES and lift(len(sides[s]), s) > LIFT]
-    return sorted(found, key=lambda s: (len(sides[s]) * len(s), s))
+                sides[s].add((a, b))
+    found = {s for s in likely if len(sides[s]) >= SIDES and lift(len(sides[s]), s) > LIFT}
+    return [w for text in words[0] for w in text if not found.isdisjoint(_segments(w))]
+
+
+def trained(samples: list[bytes], size: int, seed: int, **options: int) -> tuple[bytes, bytes]:
+    """Head (entropy tables) and content of a dictionary that zstandard trains
+    on ``samples``, which are repeated where they are fewer than it asks for."""
+    import zstandard
+
+    samples = samples * (1 + 12 * size // max(1, sum(map(len, samples))))
+    random.Random(seed).shuffle(samples)
+    raw = zstandard.train_dictionary(size, samples, level=LEVEL, **options).as_bytes()
+    ends = raw.index(b"".join(k.to_bytes(4, "little") for k in (1, 4, 8))) + 12
+    return raw[:ends], raw[ends:]
 
 
 @dataclass
 class Model:
-    """Two dictionaries of equal size that differ only where one has toxic
-    segments, the weight of each difference of lengths, and the threshold."""
+    """A dictionary trained on toxic words and one on ordinary words, each
+    followed by the same ordinary text, so that the lengths of ordinary windows
+    agree; the weight of each difference of lengths, and the threshold."""
 
     toxic: bytes
     ordinary: bytes
@@ -85,37 +104,43 @@ class Model:
         return lambda text: np.clip(np.array([len(a(w)) - len(b(w)) for w in windows(text)], np.int64), LOW, HIGH) - LOW
 
     def score(self, steps: np.ndarray) -> float:
-        """Sum of the windows' weights over the root of their number; 0 without a window."""
-        return float(self.weight[steps].sum() / np.sqrt(len(steps))) if len(steps) else 0.0
+        """The most, over stretches of ``STRETCH`` windows that overlap by half,
+        of the sum of weights over the root of their number; 0 without a window."""
+        if not len(steps):
+            return 0.0
+        upto = np.concatenate([[0.0], np.cumsum(self.weight[steps])])
+        begin = np.arange(0, max(1, len(steps) - STRETCH // 2), STRETCH // 2)
+        end = np.minimum(begin + STRETCH, len(steps))
+        begin = np.maximum(0, end - STRETCH)
+        return float(((upto[end] - upto[begin]) / np.sqrt(end - begin)).max())
 
 
 def train(rows: list[tuple[int, str, int]], seed: int = 3) -> Model | None:
-    """Of (doc_id, text, toxic): every second one trains the dictionaries, the
-    others calibrate. None where a class is too small to train on."""
-    import zstandard
-
+    """Of (doc_id, text, toxic), in order of doc_id: of five, three train the
+    dictionaries, the fourth the weights, the fifth the threshold. None, with a
+    warning, where a part lacks a class or toxic documents have no word that
+    ordinary ones lack; nothing can be learned then."""
     rows = sorted(rows)
-    parts = [[(t, y) for k, (_, t, y) in enumerate(rows) if k % 3 != 2], [(t, y) for k, (_, t, y) in enumerate(rows) if k % 3 == 2]]
-    toxic, ordinary = ([t for t, y in parts[0] if y == c] for c in (1, 0))
-    tests = [[t for t, y in parts[1] if y == c] for c in (0, 1)]
-    samples = [w for t in ordinary for w in windows(t)]
-    if not all(tests) or not toxic or len(samples) < 2000:
-        return None
-    rng = random.Random(seed)
-    rng.shuffle(samples)
-    base = zstandard.train_dictionary(SIZE, samples[:150_000]).as_bytes()
-    segments = "".join(" " + s for s in toxic_segments(toxic, ordinary)).encode("utf-8", "surrogatepass")
-    if not segments:
+    part = lambda k, c: [t for i, (_, t, y) in enumerate(rows) if (0, 0, 0, 1, 2)[i % 5] == k and y == c]
+    toxic, ordinary = (part(0, c) for c in (1, 0))
+    shared = [w for t in ordinary for w in windows(t)]
+    words = toxic_words(toxic, ordinary) if shared else []
+    if not words or not all(part(k, c) for k in (1, 2) for c in (0, 1)):
+        warnings.warn("too few labelled documents to learn what is toxic: nothing will be called toxic", stacklevel=2)
         return None
-    filler = bytes(rng.choices(range(1, 9), k=len(segments)))
-    model = Model(base[:HEADER] + segments + base[HEADER:], base[:HEADER] + filler + base[HEADER:], np.zeros(HIGH - LOW + 1), 0.0)
+    padded = lambda ws: [f" {w} ".encode("utf-8", "surrogatepass") for w in ws]
+    plain = [w for t in ordinary for w in WORDS.findall(t.lower())]
+    plain = random.Random(seed).sample(plain, min(len(plain), max(len(words), 2000)))
+    head, text = trained(shared, SHARED, seed, k=64, d=COUNTED)
+    owns = [trained(padded(ws), OWN, seed, k=SEGMENT, d=COUNTED)[1] for ws in (words, plain)]
+    a, b = (head + own.rjust(OWN, b"\n") + text for own in owns)
+    model = Model(a, b, np.zeros(HIGH - LOW + 1), 0.0)
     steps = model.differences()
-    seen = [[steps(t) for t in texts] for texts in tests]
-    tally = [np.bincount(np.concatenate(s), minlength=HIGH - LOW + 1) + 0.5 for s in seen]
+    tally = [np.bincount(np.concatenate([steps(t) for t in part(1, c)]), minlength=HIGH - LOW + 1) + 0.5 for c in (0, 1)]
     model.weight = np.log(tally[1] / tally[1].sum()) - np.log(tally[0] / tally[0].sum())
-    scores = [np.sort([model.score(s) for s in part]) for part in seen]
+    scores = [np.sort([model.score(steps(t)) for t in part(2, c)]) for c in (0, 1)]
     cuts = np.unique(np.concatenate([*scores, [0.0]]))
-    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
+    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1e-6)
     alarms = 1 - np.searchsorted(scores[0], cuts) / len(scores[0])
     misses = np.searchsorted(scores[1], cuts) / len(scores[1])
     cost = ALARM * alarms + misses
@@ -158,8 +183,9 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
 
     Each window of the whole text is compressed under both dictionaries; the
     lengths' difference has the weight of its log likelihood ratio between
-    toxic and ordinary documents. Defined results: null, empty and wordless
-    texts score 0 and are not toxic; repeated rows score alike; a null doc_id
+    toxic and ordinary documents, and the worst stretch decides, so that clean
+    text around it can't outvote it. Defined results: null, empty and wordless
+    texts score 0 and are not toxic; repeated rows and ties score alike; a null doc_id
     stays null; an empty table gives none; without a model nothing is toxic;
     other columns are ignored."""
     kept = docs.sparkSession.sparkContext.broadcast(model)
@@ -168,5 +194,8 @@ def scores(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, **bounds: int) -> DataFrame:
-    """The rows of ``scores`` that are toxic."""
+    """The rows of ``scores`` that are toxic, by a model fitted on the labelled
+    ones among ``docs``. Defined results as ``scores``: null and empty texts
+    are never in it, repeated rows are as often as they occur, and without
+    labels of both classes, or without documents, there is none."""
     return scores(docs, fit(docs, labels, **bounds)).where("toxic")
