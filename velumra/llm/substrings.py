@@ -14,23 +14,25 @@ from pyspark.sql import functions as F
 from ..operators.components import weak_components
 from ..plans.lineage import table
 from ..plans.memory import released
-from .minhash import one_permutation
 from .words import WORDS, Blocks, WordHashes, mix, shingles, unblock
 
 #: A paragraph ends at the first end of a sentence or line after so many words;
 LEAST = 8
-#: a stretch with more words and no such end is cut after words of certain hashes.
-LONGEST = 40
-SHINGLE, BINS, ROWS = 2, 18, 3
+#: a stretch with more words and no such end is cut after words of certain hashes, but not so near its end.
+LONGEST = 24
+#: Bands of so many minima: a pair of Jaccard 0.7 shares one with probability 0.994.
+SHINGLE, BANDS, ROWS = 2, 12, 3
 SIMILAR = 0.7
 #: Repeated paragraphs side by side are one passage; shorter ones don't count.
 PASSAGE = 25
-#: Bits, a power of two, of the filter that spares texts without candidates; too few cost time, not results.
-FILTER_BITS = 1 << 24
+#: In a bucket where a tie fails, so many that failed meet so many of the bucket in one step.
+PART = 4096
+#: Prints that a task remembers, so as not to send their word pairs again.
+SEEN = 1_000_000
 #: Begins with one set of characters, so that the scan skips all others.
 STOP = re.compile(r"[.!?…。！？\n](?:(?<=\n)\n*|(?<!\n)[.!?…。！？]*[\"'»”)\]]*\s+)")
 MARKED = re.compile(r"\w+|\0")
-CUT = np.uint64(15)
+CUT = np.uint64(3)
 
 
 def paragraphs(text: str, known: WordHashes) -> tuple[list[int], list[int], np.ndarray]:
@@ -54,7 +56,7 @@ def paragraphs(text: str, known: WordHashes) -> tuple[list[int], list[int], np.n
             if len(places) != n - seen:  # lower case changed the words' number
                 places = [round(len(piece) * (k + 1) / (n - seen)) for k in range(n - seen)]
             for k in np.flatnonzero((mix(h[seen:n]) & CUT) == 0).tolist():
-                if seen + k + 1 - first >= LEAST:
+                if seen + k + 1 - first >= LEAST and n - (seen + k + 1) >= LEAST:
                     ends.append(at + places[k])
                     counts.append(seen + k + 1 - first)
                     first = seen + k + 1
@@ -87,33 +89,60 @@ def _cut(batch: pa.RecordBatch, known: WordHashes):
     return (owner, np.arange(len(owner)) - begin[owner], start, end), lengths, h, first, prints
 
 
+def pair_sets(s: np.ndarray, of: np.ndarray, keep: np.ndarray) -> pa.Array:
+    """The distinct low 32 bits of hashes ``s`` of each paragraph to ``keep``, in order, as packed bytes; others are null."""
+    here = keep[of]
+    both = np.unique((of[here].astype(np.uint64) << np.uint64(32)) | (s[here] & np.uint64(2**32 - 1)))
+    sizes = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(keep))
+    ends = np.concatenate([[0], 4 * np.cumsum(sizes)]).astype(np.int32)
+    valid = np.packbits(keep, bitorder="little").tobytes()
+    return pa.Array.from_buffers(pa.binary(), len(keep), [pa.py_buffer(valid), pa.py_buffer(ends.tobytes()), pa.py_buffer(both.astype("<u4").tobytes())])
+
+
 def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = WordHashes()
+    """All paragraphs; those that can be near others have their word pairs where the task meets them first."""
+    known, seen = WordHashes(), set()
     for whole in batches:
         for k in range(0, whole.num_rows, 512):
             batch = whole.slice(k, 512)
-            found, lengths, _, _, prints = _cut(batch, known)
+            found, lengths, h, first, prints = _cut(batch, known)
+            own, at = np.unique(prints, return_index=True)
+            new = np.zeros(len(prints), bool)
+            new[[i for p, i in zip(own.tolist(), at.tolist()) if p not in seen]] = True
+            new &= lengths >= LEAST
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(prints[new].tolist())
             ids = batch.column("doc_id").take(pa.array(found[0]))
-            columns = [pa.array(prints.view(np.int64)), ids, *(pa.array(x.astype(np.int32)) for x in (*found[1:], lengths))]
-            yield pa.RecordBatch.from_arrays(columns, names=["print", "doc_id", "unit", "begin", "end", "words"])
+            columns = [pa.array(prints.view(np.int64)), ids, *(pa.array(x.astype(np.int32)) for x in (*found[1:], lengths)), pair_sets(*shingles(h, first, SHINGLE), new)]
+            yield pa.RecordBatch.from_arrays(columns, names=["print", "doc_id", "unit", "begin", "end", "words", "grams"])
+
+
+def band_keys(grams: list[bytes], bands: int = BANDS, rows: int = ROWS, seed: int = 41) -> np.ndarray:
+    """(sets, bands) hashes of ``rows`` minima, each of its own hash function."""
+    sizes = np.array([len(g) // 4 for g in grams])
+    begin = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
+    g = mix(np.frombuffer(b"".join(grams), "<u4").astype(np.uint64))
+    rng = np.random.default_rng(seed)
+    out = np.zeros((len(grams), bands), np.uint64)
+    for b in range(bands):
+        key = np.full(len(grams), b + 1, np.uint64)
+        for _ in range(rows):
+            odd, more = (np.uint64(x) for x in rng.integers(0, 2**63, 2))
+            least = np.minimum.reduceat((g * (odd * np.uint64(2) + np.uint64(1)) + more) >> np.uint64(24), begin)
+            key = key * np.uint64(0x9E3779B97F4A7C15) + mix(least)
+        out[:, b] = mix(key)
+    return out
 
 
 def _banded(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, blocks = WordHashes(), Blocks(buckets, ["<u8", "<u8"], 800_000)
+        blocks = Blocks(buckets, ["<u8", "<u8"], 800_000)
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                _, lengths, h, first, prints = _cut(whole.slice(k, 512), known)
-                long = lengths >= LEAST
-                if not long.any():
-                    continue
-                s, of = shingles(h, first, SHINGLE)
-                sig = one_permutation(s, of, len(lengths), BINS)[long].reshape(int(long.sum()), -1, ROWS)
-                key = np.zeros(sig.shape[:2], np.uint64)
-                for r in range(ROWS):
-                    key = key * np.uint64(0x9E3779B97F4A7C15) + mix(sig[:, :, r] + np.uint64(r))
-                key = mix(key + np.arange(key.shape[1], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-                yield from blocks.add(key.reshape(-1), np.repeat(prints[long], key.shape[1]))
+            if whole.num_rows:
+                key = band_keys(whole.column("grams").to_pylist())
+                prints = whole.column("print").to_numpy(zero_copy_only=False).view(np.uint64)
+                yield from blocks.add(key.reshape(-1), np.repeat(prints, key.shape[1]))
         yield from blocks.flush()
 
     return run
@@ -130,47 +159,21 @@ def _stars(found: pa.Table) -> pa.Table:
     return pa.table({n: pa.array(x[apart].view(np.int64)) for n, x in (("key", key), ("a", print_), ("b", hub))})
 
 
-def _marks(prints: DataFrame, bits: int) -> bytes:
-    """A bit for the low bits of each print, as packed bytes. Spark merges the
-    bitmaps, so the driver gets ``bits`` bits in all at any amount of text."""
-    slot = F.col("print").bitwiseAND(F.lit(bits - 1)) + 1
-    parts = prints.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("marks")).collect()
-    width = 4096
-    out = bytearray(-(-bits // (8 * width)) * width)
-    for row in parts:
-        out[(row.part - 1) * width : row.part * width] = row.marks
-    return bytes(out)
-
-
-def _shingled(marks, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wanted = WordHashes(), np.unpackbits(np.frombuffer(marks.value, np.uint8), bitorder="little").view(bool)
-        low = np.uint64(bits - 1)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                _, lengths, h, first, prints = _cut(whole.slice(k, 512), known)
-                hit = wanted[(prints & low).astype(np.int64)]
-                if not hit.any():
-                    continue
-                s, of = shingles(h, first, SHINGLE)
-                order = np.argsort(of, kind="stable")
-                s, of = s[order], of[order]
-                edge = np.searchsorted(of, np.arange(len(lengths) + 1))
-                rows = np.flatnonzero(hit)
-                sets = [np.unique(s[edge[i] : edge[i + 1]]).tobytes() for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(prints[rows].view(np.int64)), pa.array(sets, pa.binary())], names=["print", "grams"])
-
-    return run
+def alike(x: list[bytes], y: list[bytes], least: float) -> np.ndarray:
+    """Whether the Jaccard index of each pair of sets reaches ``least``."""
+    sizes = [np.array([len(g) // 4 for g in side], np.int64) for side in (x, y)]
+    keyed = [
+        (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | np.frombuffer(b"".join(side), "<u4") for n, side in zip(sizes, (x, y))
+    ]
+    shared = np.intersect1d(*keyed, assume_unique=True)
+    both = np.bincount((shared >> np.uint64(32)).astype(np.int64), minlength=len(x))
+    return both >= least * (sizes[0] + sizes[1] - both)
 
 
 def _similar(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yes = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                yes.append(both >= least * (len(x) + len(y) - both))
+            yes = alike(batch.column("x").to_pylist(), batch.column("y").to_pylist(), least)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(yes, pa.bool_())], names=["a", "b", "alike"])
 
     return run
@@ -213,25 +216,25 @@ def links(prints: list[int], alike: list[bool], sets: list[np.ndarray], least: f
 
 
 def _linked(least: float):
-    """Of rows in order of key."""
+    """Of rows in order of (key, i, j), the part of a bucket in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows = None, []
+        place, rows = None, {}
 
         def pairs() -> list[tuple[int, int]]:
-            prints, alike, raw = zip(*rows)
-            return links(prints, alike, [np.frombuffer(x, np.uint64) for x in raw], least) if len(rows) > 1 else []
+            same, raw = zip(*rows.values())
+            return links(list(rows), list(same), [np.frombuffer(x, "<u4") for x in raw], least) if len(rows) > 1 else []
 
         def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             edges = []
-            for k, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "alike", "grams"))):
-                if k != key:
+            for key, i, j, a, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "a", "alike", "grams"))):
+                if (key, i, j) != place:
                     edges += pairs() if rows else []
-                    key, rows = k, []
-                rows.append(row)
+                    place, rows = (key, i, j), {}
+                rows[a] = row
             yield batch_of(edges)
         if rows:
             yield batch_of(pairs())
@@ -239,48 +242,60 @@ def _linked(least: float):
     return run
 
 
-def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int = PASSAGE, filter_bits: int = FILTER_BITS) -> DataFrame:
+def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int = PASSAGE) -> DataFrame:
     """Passages that stand in two documents or more:
     (doc_id, begin, end, words, first_doc_id, remove).
 
-    Texts are cut into paragraphs at ends of sentences and lines. Paragraphs of
-    one word sequence have one 64-bit print. Prints that share a MinHash band
-    are tied to the least of the bucket, and a tie holds when the exact Jaccard
-    index of their word pairs reaches ``similar``. In a bucket where a tie fails
-    all others are compared too, but for those that are connected already, so
-    it is connected as by all its pairs. Clusters are the connected components; one that stays inside a single document is none. Neighbouring
-    paragraphs of clusters make a passage if they have ``passage`` words
-    together. ``first_doc_id`` is the least document in which any of it
-    stands; ``remove`` is true unless each paragraph is the first of its cluster.
-
-    Bands move as packed blocks, of which a bucket holds about one part in
-    four times the shuffle partitions. Defined results: null, empty and
-    wordless texts have no passage; rows with a null doc_id are left out; rows
-    that repeat a doc_id are one document; an empty table gives none; other
-    columns are ignored. Places count characters of the whole text."""
+    Texts are cut into paragraphs at ends of sentences and lines, and where
+    these are far apart after words of certain hashes. Paragraphs of one word
+    sequence have one 64-bit print; from there on only different prints count,
+    however often they occur. Prints that share a MinHash band are tied to the
+    least of the bucket, and a tie holds when the exact Jaccard index of their
+    word pairs reaches ``similar``. In a bucket where a tie fails, those that
+    failed meet all others, but for those that are connected already, in parts
+    of ``PART`` by ``PART``, so it is connected as by all its pairs. Clusters
+    are the connected components; one that stays inside a single document is
+    none.
+
+    Neighbouring paragraphs of clusters make a passage if they have ``passage``
+    words together. A passage is one row for each stretch of it that is first,
+    or is not first, of its clusters: ``remove`` is true where every paragraph
+    stands earlier too, in (doc_id, place), so one copy of each paragraph
+    stays. ``first_doc_id`` is the least document in which any of it stands.
+
+    Each text is cut once. Bands move as packed blocks, of which a bucket holds
+    about one part in four times the shuffle partitions. Defined results: null,
+    empty and wordless texts have no passage; rows with a null doc_id are left
+    out; rows that repeat a doc_id are one document; an empty table gives none;
+    other columns are ignored. Places count characters of the whole text."""
     spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    units = table(texts.mapInArrow(released(_listed), "print bigint, doc_id bigint, unit int, begin int, end int, words int"), "paragraphs")
+    listed = table(texts.mapInArrow(released(_listed), "print bigint, doc_id bigint, unit int, begin int, end int, words int, grams binary"), "paragraphs")
+    units = listed.drop("grams")
+    grams = table(listed.where("grams IS NOT NULL").groupBy("print").agg(F.first("grams").alias("grams")), "grams")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tied = table(texts.mapInArrow(released(_banded(buckets)), Blocks.SCHEMA).groupBy("bucket").applyInArrow(_stars, "key bigint, a bigint, b bigint"), "ties")
-    # A bit map of fixed size; the join below is what decides.
-    both = tied.select(F.col("a").alias("print")).unionByName(tied.select(F.col("b").alias("print")))
-    wanted = spark.sparkContext.broadcast(_marks(both, filter_bits))
-    grams = texts.mapInArrow(released(_shingled(wanted, filter_bits)), "print bigint, grams binary").groupBy("print").agg(F.first("grams").alias("grams"))
-    grams = table(grams, "grams")
+    tied = table(grams.mapInArrow(released(_banded(buckets)), Blocks.SCHEMA).groupBy("bucket").applyInArrow(_stars, "key bigint, a bigint, b bigint"), "ties")
+    asked = tied.select(F.col("a").alias("print")).unionByName(tied.select(F.col("b").alias("print"))).distinct()
+    crowd = table(grams.join(asked, "print", "left_semi"), "asked")
     tried = table(
         tied.select("a", "b")
         .distinct()
-        .join(grams.select(F.col("print").alias("a"), F.col("grams").alias("x")), "a")
-        .join(grams.select(F.col("print").alias("b"), F.col("grams").alias("y")), "b")
+        .join(crowd.select(F.col("print").alias("a"), F.col("grams").alias("x")), "a")
+        .join(crowd.select(F.col("print").alias("b"), F.col("grams").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(released(_similar(similar)), "a bigint, b bigint, alike boolean"),
         "tried",
     )
     members = table(tied.join(tried, ["a", "b"]).select("key", "a", "alike"), "members")
-    mixed = members.groupBy("key").agg(F.count("*").alias("n"), F.bool_and("alike").alias("all")).where("n > 1 AND NOT all").select("key")
-    crowds = members.join(mixed, "key").join(grams.withColumnRenamed("print", "a"), "a").repartition("key").sortWithinPartitions("key", "a")
-    linked = table(crowds.mapInArrow(released(_linked(similar)), "a bigint, b bigint").distinct(), "linked")
+    mixed = members.groupBy("key").agg(F.count(F.when(~F.col("alike"), 1)).alias("_failed"), F.count("*").alias("_all")).where("_failed > 0 AND _all > 1")
+    mixed = mixed.select("key", F.ceil(F.col("_failed") / PART).cast("int").alias("_is"), F.ceil(F.col("_all") / PART).cast("int").alias("_js"))
+    split = members.join(mixed, "key")
+    part = lambda n: F.pmod(F.xxhash64("a"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = split.where("NOT alike").select("key", part("_is").alias("i"), every("_js").alias("j"), "a", "alike")
+    right = split.select("key", every("_is").alias("i"), part("_js").alias("j"), "a", "alike")
+    parts = left.unionByName(right).distinct().join(crowd.withColumnRenamed("print", "a"), "a").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "a")
+    linked = table(parts.mapInArrow(released(_linked(similar)), "a bigint, b bigint").distinct(), "linked")
     near = tried.where("alike").select("a", "b").unionByName(linked)
     groups = weak_components(near, "a", "b").select(F.col("node").alias("print"), "component")
     prints = units.groupBy("print").agg(F.min(F.struct("doc_id", "unit")).alias("first"), F.max("doc_id").alias("last"))
@@ -291,12 +306,14 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int =
     repeated = repeated.select(
         "doc_id", "unit", "begin", "end", "words", F.col("_first.doc_id").alias("_doc"), (F.struct("doc_id", "unit") != F.col("_first")).alias("_later")
     ).distinct()
-    row = F.row_number().over(Window.partitionBy("doc_id").orderBy("unit", "begin", "end"))
-    runs = repeated.withColumn("_run", F.col("unit") - row).groupBy("doc_id", "_run")
+    order = Window.partitionBy("doc_id").orderBy("unit", "begin", "end")
+    runs = repeated.withColumn("_run", F.col("unit") - F.row_number().over(order))
+    # Among the rows of a run, each stretch of equal _later has its own number.
+    alike_order = Window.partitionBy("doc_id", "_later").orderBy("unit", "begin", "end")
+    runs = runs.withColumn("_all", F.sum("words").over(Window.partitionBy("doc_id", "_run"))).withColumn("_piece", F.col("unit") - F.row_number().over(alike_order))
     return (
-        runs.agg(
-            F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").cast("int").alias("words"), F.min("_doc").alias("first_doc_id"), F.max("_later").alias("remove")
-        )
-        .where(F.col("words") >= passage)
-        .select("doc_id", "begin", "end", "words", "first_doc_id", "remove")
-    )
+        runs.where(F.col("_all") >= passage)
+        .groupBy("doc_id", "_run", "_later", "_piece")
+        .agg(F.min("begin").alias("begin"), F.max("end").alias("end"), F.sum("words").cast("int").alias("words"), F.min("_doc").alias("first_doc_id"))
+        .select("doc_id", "begin", "end", "words", "first_doc_id", F.col("_later").alias("remove"))
+    )
