@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -53,3 +54,10 @@ def drop(df: DataFrame) -> None:
         spark = df.sparkSession
         there = spark._jvm.org.apache.hadoop.fs.Path(path)
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that nothing refers to any
+    more; it does so when the driver collects garbage, which may be late."""
+    gc.collect()
+    spark._jvm.System.gc()
