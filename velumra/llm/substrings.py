@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import weak_components
-from ..plans.lineage import table
+from ..plans.lineage import drop, table, tidy
 from ..plans.memory import released
 from .words import WORDS, Blocks, WordHashes, mix, shingles, unblock
 
@@ -271,8 +271,10 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int =
     spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     listed = table(texts.mapInArrow(released(_listed), "print bigint, doc_id bigint, unit int, begin int, end int, words int, grams binary"), "paragraphs")
-    units = listed.drop("grams")
     grams = table(listed.where("grams IS NOT NULL").groupBy("print").agg(F.first("grams").alias("grams")), "grams")
+    units = table(listed.drop("grams"), "units")
+    drop(listed)
+    tidy(spark)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tied = table(grams.mapInArrow(released(_banded(buckets)), Blocks.SCHEMA).groupBy("bucket").applyInArrow(_stars, "key bigint, a bigint, b bigint"), "ties")
     asked = tied.select(F.col("a").alias("print")).unionByName(tied.select(F.col("b").alias("print"))).distinct()
