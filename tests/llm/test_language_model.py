@@ -10,7 +10,7 @@ from velumra.llm import language_model as L
 SF = "/root/testdata/sf0.001"
 
 
-def plain(rows, vocabulary=L.VOCABULARY, held=L.HELD):
+def plain(rows, held=L.HELD):
     """(n_words, bits per word) of each document, from dictionaries; weights by
     expectation maximisation over each held-out word pair itself."""
     texts = defaultdict(list)
@@ -20,16 +20,8 @@ def plain(rows, vocabulary=L.VOCABULARY, held=L.HELD):
     number = lambda d: np.array([L.NULL if d is None else d])
     out = {d: bool(L.held_out(number(d), held)[0]) for d in texts}
     every = Counter(w for d in texts for ws in texts[d] for w in ws)
-    sizes = Counter(every.values())
-    room, least = vocabulary, math.inf
-    for f in sorted(sizes, reverse=True):
-        room -= sizes[f]
-        if room < 0:
-            break
-        least = f
-    known = {w for w, n in every.items() if n >= least}
-    p0 = 1 / (len(known) + 1)
-    pairs = {d: [(a, b) for ws in texts[d] for w in [[x if x in known else None for x in ws]] for a, b in zip(["<s>", *w], w)] for d in texts}
+    p0 = 1 / (len(every) + 1)
+    pairs = {d: [(a, b) for ws in texts[d] for a, b in zip([None, *ws], ws)] for d in texts}
 
     def counts(docs):
         two = Counter(p for d in docs for p in pairs[d])
@@ -69,16 +61,17 @@ def plain(rows, vocabulary=L.VOCABULARY, held=L.HELD):
 
 def check(df, rows, tolerance, **options):
     got = {r.doc_id: r for r in L.scores(df, **options).collect()}
-    want = plain(rows, **options)
+    want = plain(rows, options.get("held", L.HELD))
     assert got.keys() == want.keys()
     for d, (n, bits) in want.items():
         assert got[d].n_words == n and got[d].bits_per_word == pytest.approx(bits, rel=tolerance)
         assert got[d].perplexity == pytest.approx(2 ** got[d].bits_per_word)
 
 
-@pytest.mark.parametrize("options", [{}, {"vocabulary": 500, "held": 3}])
+@pytest.mark.parametrize("options", [{}, {"frequent": 500, "held": 3}, {"frequent": 0}])
 def test_against_dictionaries(spark, options):
-    """The grid of the held-out sums rounds rates to quarters of a power of two."""
+    """The grid of the held-out sums rounds rates to quarters of a power of
+    two. How many words are broadcast doesn't matter."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     check(docs, [(r.doc_id, r.text) for r in docs.collect()], 0.01, **options)
 
@@ -89,6 +82,11 @@ def test_odd_rows(spark):
     assert L.scores(brute.documents(spark, [(1, None), (2, "")])).count() == 0
 
 
+def test_a_pair_in_every_document(spark):
+    rows = [(d, f"of the word{d % 7} " + " ".join(f"x{(d * 13 + k) % 50}" for k in range(d % 9))) for d in range(400)]
+    check(brute.documents(spark, rows), rows, 0.02, frequent=3)
+
+
 def test_learned_weights():
     """Held-out pairs that only the pair rate explains pull the weight there."""
     l = L.learn(np.array([3, 3]), np.array([90.0, 10.0]), np.array([0.5, 0.0]), np.array([0.001, 0.01]), 1e-5)

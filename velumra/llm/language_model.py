@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import table
 from ..plans.memory import released
-from .words import WORDS, Blocks, mix, unblock
+from .words import WORDS, Blocks, WordHashes, hashed, mix, unblock
 
-#: The most frequent words have ids of their own, as many as this at most; all others are one unknown word.
-VOCABULARY = 1 << 17
+#: Counts of the most frequent words, as many as this at most, are broadcast; those of all others travel to the
+#: buckets of their word. Every word has its own counts, so this moves work and changes no result.
+FREQUENT = 1 << 17
 #: One document in so many is held out to learn the mixture weights.
 HELD = 10
-UNKNOWN, START = 0, 1
+RARE, START = 0, 1
 #: Mixture weights differ by steps of log2(1 + context count).
 STEPS = 48
 #: Rates are kept in quarters of a power of two while weights are learned.
@@ -28,7 +29,15 @@ ROUNDS = 200
 NULL = -(2**63)
 ODD = 0x9E3779B97F4A7C15
 BACK = pow(ODD, -1, 2**64)
+#: Of a block: pair (or its rare word), document, count, the document's counts of the context and of the word;
 COLUMNS = ["<u8", "<i8", "<u4", "<u4", "<u4"]
+#: the frequent word and its side; the second word, if both are rare, with its counts.
+ONE_RARE, BOTH_RARE = [*COLUMNS, "<u4"], [*COLUMNS, "<u8", "<i8", "<i8"]
+COUNTS = ["<u8", "<i8", "<i8", "<i8", "<i8"]
+#: What a block holds.
+PAIRS, MIXED, RARES, WORD_COUNTS = range(4)
+KINDS = {PAIRS: COLUMNS, MIXED: ONE_RARE, RARES: BOTH_RARE, WORD_COUNTS: COUNTS}
+BLOCKS = "kind int, bucket int, n int, payload binary"
 
 
 def held_out(doc_id: np.ndarray, held: int) -> np.ndarray:
@@ -40,15 +49,15 @@ def _ids(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def _counted(held: int):
-    """(word, n, n held out, last words, last words held out) of each task."""
+    """(hash of a word, n, n held out, last words, last words held out) of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = [Counter() for _ in range(4)]
+        tally, known = [Counter() for _ in range(4)], WordHashes()
 
         def rows() -> pa.RecordBatch:
             words = list(set().union(*tally))
             out = pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string()), *(pa.array([t[w] for w in words], pa.int64()) for t in tally)], names=["word", "n", "h", "e", "eh"]
+                [pa.array(known.many(words).view(np.int64)), *(pa.array([t[w] for w in words], pa.int64()) for t in tally)], names=["word", "n", "h", "e", "eh"]
             )
             for t in tally:
                 t.clear()
@@ -60,72 +69,148 @@ def _counted(held: int):
                 if words:
                     tally[1 if out else 0].update(words)
                     tally[3 if out else 2][words[-1]] += 1
-            if len(tally[0]) > 1_000_000:
+            if len(tally[0]) + len(tally[1]) > 1_000_000:
                 yield rows()
         yield rows()
 
     return run
 
 
-class _Known(dict):
-    def __missing__(self, word: str) -> int:
-        return UNKNOWN
+def _document_pairs(batches: Iterator[pa.RecordBatch], top: np.ndarray):
+    """For some documents at a time, their distinct pairs: hash and number of
+    context and of word (``RARE``, ``START`` or 2 and the place in ``top``),
+    document, and how often the pair, the context and the word stand in it."""
+    known = WordHashes()
+    for whole in batches:
+        for k in range(0, whole.num_rows, 512):
+            batch = whole.slice(k, 512)
+            h, begin = hashed(batch.column("text").to_pylist(), known)
+            if not len(h):
+                continue
+            word, v = np.unique(h, return_inverse=True)
+            at = np.searchsorted(top, word)
+            at[at == len(top)] = 0
+            number = np.where(top[at] == word, at + 2, RARE) if len(top) else np.zeros(len(word), np.int64)
+            word, number = np.append(word, np.uint64(0)), np.append(number, START).astype(np.uint64)
+            u = np.concatenate([[len(word) - 1], v[:-1]])
+            u[begin[:-1][np.diff(begin) > 0]] = len(word) - 1
+            owner = np.repeat(np.arange(len(begin) - 1, dtype=np.uint64), np.diff(begin))
+            times = lambda x: (lambda back, n: n[back])(*np.unique((owner << np.uint64(32)) | x.astype(np.uint64), return_inverse=True, return_counts=True)[1:])
+            nu, nv, pair = times(u), times(v), (u.astype(np.uint64) << np.uint64(32)) | v.astype(np.uint64)
+            order = np.lexsort((pair, owner))
+            own, key = owner[order], pair[order]
+            new = np.flatnonzero((np.diff(own, prepend=~own[:1]) != 0) | (np.diff(key, prepend=~key[:1]) != 0))
+            n, i = np.diff(np.append(new, len(key))), order[new]
+            yield word[u[i]], number[u[i]], word[v[i]], number[v[i]], _ids(batch)[own[new].astype(np.int64)], n, nu[i], nv[i]
+
+
+def _of_kind(kind: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, kind, np.int32)), *b.columns], names=["kind", *b.schema.names])
+
+
+def _pairs(top, buckets: int):
+    """Blocks of the pairs that hold a frequent word: by pair if both words
+    are, else by the rare one."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both, one = Blocks(buckets, COLUMNS, 800_000), Blocks(buckets, ONE_RARE, 400_000)
+        for uh, u, vh, v, *rest in _document_pairs(batches, top.value):
+            frequent = (u != RARE) & (v != RARE)
+            yield from _of_kind(PAIRS, both.add(((u << np.uint64(32)) | v)[frequent] * np.uint64(ODD), *(x[frequent] for x in rest)))
+            mixed = (u == RARE) != (v == RARE)
+            first = u[mixed] == RARE
+            other = np.where(first, v[mixed] << np.uint64(1), (u[mixed] << np.uint64(1)) | np.uint64(1))
+            yield from _of_kind(MIXED, one.add(np.where(first, uh[mixed], vh[mixed]), *(x[mixed] for x in rest), other))
+        yield from _of_kind(PAIRS, both.flush())
+        yield from _of_kind(MIXED, one.flush())
+
+    return run
+
+
+def _rare_pairs(top):
+    """The pairs of two rare words, one row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for uh, u, vh, v, *rest in _document_pairs(batches, top.value):
+            rare = (u == RARE) & (v == RARE)
+            columns = [uh[rare].view(np.int64), vh[rare].view(np.int64), *(x[rare].astype(np.int64) for x in rest)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["u", "word", "doc", "c", "nu", "nv"])
+
+    return run
 
-def _pairs(words, held: int, buckets: int):
-    """Blocks of (pair, document, count, the document's counts of the context
-    and of the word)."""
+
+def _packed(kind: int, names: list[str], buckets: int):
+    """Blocks of plain rows, by their first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Known((w, k + 2) for k, w in enumerate(words.value))
-        blocks = Blocks(buckets, COLUMNS, 800_000)
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                ids = [np.fromiter(map(known.__getitem__, WORDS.findall((t or "").lower())), np.uint64) for t in batch.column("text").to_pylist()]
-                lengths = np.array([len(x) for x in ids], np.int64)
-                if not lengths.sum():
-                    continue
-                v = np.concatenate(ids)
-                u = np.concatenate([[np.uint64(START)], v[:-1]])
-                u[np.concatenate([[0], np.cumsum(lengths)])[:-1][lengths > 0]] = START
-                owner = np.repeat(np.arange(len(ids), dtype=np.uint64), lengths)
-                times = lambda x: (lambda back, n: n[back])(*np.unique((owner << np.uint64(32)) | x, return_inverse=True, return_counts=True)[1:])
-                nu, nv, pair = times(u), times(v), (u << np.uint64(32)) | v
-                order = np.lexsort((pair, owner))
-                own, key = owner[order], pair[order]
-                new = np.flatnonzero((np.diff(own, prepend=~own[:1]) != 0) | (np.diff(key, prepend=~key[:1]) != 0))
-                n = np.diff(np.append(new, len(key)))
-                doc = _ids(batch)[own[new].astype(np.int64)]
-                yield from blocks.add(key[new] * np.uint64(ODD), doc, n, nu[order][new], nv[order][new])
-        yield from blocks.flush()
+        blocks = Blocks(buckets, KINDS[kind], 400_000)
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
+            yield from _of_kind(kind, blocks.add(columns[0].view(np.uint64), *columns[1:]))
+        yield from _of_kind(kind, blocks.flush())
 
     return run
 
 
-def _opened(batches: Iterator[pa.RecordBatch], more: str | None = None):
-    """The buckets of a partition one by one: sorted by (pair, document), the
-    rows of one document that is in several rows added up. With the value of
-    column ``more``."""
-    found: dict[int, list[tuple[int, bytes]]] = {}
+def _added(*by: np.ndarray, sums: tuple[np.ndarray, ...]):
+    """Rows in order of ``by``, those that agree in all of it added up; where
+    each run of rows that agree in all but the first of ``by`` begins, and its length."""
+    order = np.lexsort(by)
+    by = tuple(x[order] for x in by)
+    change = [np.diff(x, prepend=~x[:1]) != 0 for x in by]
+    new = np.flatnonzero(np.logical_or.reduce(change))
+    first = np.flatnonzero(np.logical_or.reduce(change[1:])[new])
+    return order[new], tuple(np.add.reduceat(x[order].astype(np.int64), new) for x in sums), first, np.diff(np.append(first, len(new)))
+
+
+def _opened(batches: Iterator[pa.RecordBatch], model: dict, more: str | None = None):
+    """The pairs of the buckets, one bucket after another, in order of bucket:
+    documents, their counts, where each pair's rows begin and how many they
+    are, and for each pair the counts of context and word, without held-out
+    text and with it. The rows of a document that is in several rows are added up. With
+    the value of column ``more``."""
     extra = None
+
+    def whole(found: dict[int, list[tuple[int, bytes]]]):
+        table_of = lambda kind: unblock(pa.table({"n": [x for x, _ in found[kind]], "payload": [x for _, x in found[kind]]}), KINDS[kind])
+        known, counts = np.empty(0, np.uint64), np.empty((0, 4), np.int64)
+        if WORD_COUNTS in found:
+            known, *some = table_of(WORD_COUNTS)
+            order = np.argsort(known)
+            known, counts = known[order], np.stack(some, 1)[order]
+        of = lambda h: counts[np.searchsorted(known, h)].T
+        if PAIRS in found:
+            key, doc, *some = table_of(PAIRS)
+            at, some, first, sizes = _added(doc, key, sums=some)
+            pair = key[at][first] * np.uint64(BACK)
+            u, v = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(2**32 - 1)).astype(np.int64)
+            yield doc[at], *some, first, sizes, [m[u] for m in model["context"]], [m[v] for m in model["word"]], extra
+        if MIXED in found:
+            rare, doc, *some, other = table_of(MIXED)
+            at, some, first, sizes = _added(doc, other, rare, sums=some)
+            n, h, e, eh = of(rare[at][first])
+            other = other[at][first].astype(np.int64)
+            second, other = other & 1 == 1, other >> 1
+            context = [np.where(second, m[other], r) for m, r in zip(model["context"], (n - e, n + h - e - eh))]
+            word = [np.where(second, r, m[other]) for m, r in zip(model["word"], (n, n + h))]
+            yield doc[at], *some, first, sizes, context, word, extra
+        if RARES in found:
+            u, doc, *some, v, vn, vall = table_of(RARES)
+            at, some, first, sizes = _added(doc, v, u, sums=some)
+            n, h, e, eh = of(u[at][first])
+            yield doc[at], *some, first, sizes, [n - e, n + h - e - eh], [vn[at][first], vall[at][first]], extra
+
+    bucket, found = None, {}
     for batch in batches:
-        for b, n, raw in zip(*(batch.column(c).to_pylist() for c in ("bucket", "n", "payload"))):
-            found.setdefault(b, []).append((n, raw))
         if more and batch.num_rows and extra is None:
             extra = batch.column(more)[0].as_py()
-    for b in sorted(found):
-        rows = found.pop(b)
-        key, doc, n, nu, nv = unblock(pa.table({"n": [x for x, _ in rows], "payload": [x for _, x in rows]}), COLUMNS)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
-        new = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(doc, prepend=~doc[:1]) != 0))
-        n, nu, nv = (np.add.reduceat(x[order].astype(np.int64), new) for x in (n, nu, nv))
-        key, doc = key[new], doc[new]
-        first = np.flatnonzero(np.diff(key, prepend=~key[:1]) != 0)
-        sizes = np.diff(np.append(first, len(key)))
-        pair = key * np.uint64(BACK)
-        yield doc, n, nu, nv, first, sizes, (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(2**32 - 1)).astype(np.int64), extra
+        for kind, b, n, raw in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "n", "payload"))):
+            if b != bucket:
+                yield from whole(found)
+                bucket, found = b, {}
+            found.setdefault(kind, []).append((n, raw))
+    yield from whole(found)
 
 
 def step(context: np.ndarray) -> np.ndarray:
@@ -145,11 +230,13 @@ def _held(model, held: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
-        for doc, n, _, _, first, sizes, u, v, _ in _opened(batches):
+        for doc, n, _, _, first, sizes, context, word, _ in _opened(batches, m):
             out = np.where(held_out(doc, held), n, 0)
             h, c = np.add.reduceat(out, first), np.add.reduceat(n - out, first)
             hit = h > 0
-            h, c, cu, cv = h[hit], c[hit], m["context"][0][u[first][hit]], m["word"][0][v[first][hit]]
+            if not hit.any():
+                continue
+            h, c, cu, cv = h[hit], c[hit], context[0][hit], word[0][hit]
             p2, p1 = _rates(c, cu, cv, m["total"][0])
             fine = lambda p: np.where(p > 0, np.round(FINE * np.log2(np.maximum(p, 1e-300))), 1).astype(np.int64)
             cell, back = np.unique(np.stack([step(cu), fine(p2), fine(p1)]), axis=1, return_inverse=True)
@@ -199,10 +286,10 @@ def _learned(p0: float):
 def _scored(model, p0: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, docs, sums, words = model.value, [], [], []
-        for doc, n, nu, nv, first, sizes, u, v, raw in _opened(batches, "lambdas"):
+        for doc, n, nu, nv, first, sizes, context, word, raw in _opened(batches, m, "lambdas"):
             lambdas = np.frombuffer(raw).reshape(STEPS, 3)
             c2 = np.repeat(np.add.reduceat(n, first), sizes) - n
-            cu, cv = m["context"][1][u] - nu, m["word"][1][v] - nv
+            cu, cv = np.repeat(context[1], sizes) - nu, np.repeat(word[1], sizes) - nv
             p2, p1 = _rates(c2, cu, cv, m["total"][1])
             l = lambdas[step(cu)]
             bits = -n * np.log2(l[:, 0] * p2 + l[:, 1] * p1 + l[:, 2] * p0)
@@ -218,59 +305,66 @@ def _scored(model, p0: float):
     return run
 
 
-def scores(docs: DataFrame, vocabulary: int = VOCABULARY, held: int = HELD) -> DataFrame:
+def scores(docs: DataFrame, frequent: int = FREQUENT, held: int = HELD) -> DataFrame:
     """(doc_id, n_words, bits_per_word, perplexity) of every document with a word.
 
     The model is a mixture of the maximum-likelihood rates of a word after the
-    word before it, of the word alone, and of any word of the vocabulary. The
-    mixture weights depend on how often the context was seen, and are learned
-    by expectation maximisation: one document in ``held`` is held out, all
-    others are counted, and the weights maximise the likelihood of the held-out
-    counts. Scores then use the counts of all documents but the one that is
-    scored: its own counts of pair, context and word are taken off (the number
-    of all words is left as it is).
-
-    Pairs move once, as packed blocks by pair; learning and scoring read the
-    same shuffle. A task opens one bucket at a time, about one part in four
-    times the shuffle partitions. Only vocabulary, its counts and a grid of
-    held-out sums, all of bounded size, reach driver and broadcast.
+    word before it, of the word alone, and of any of the words that occur (and
+    one more). The mixture weights depend on how often the context was seen,
+    and are learned by expectation maximisation: one document in ``held`` is
+    held out, all others are counted, and the weights maximise the likelihood
+    of the held-out counts. Scores then use the counts of all documents but the
+    one that is scored: its own counts of pair, context and word are taken off
+    (the number of all words is left as it is). Every word and pair has counts
+    of its own, by a 64-bit hash.
+
+    Pairs move once, as packed blocks; learning and scoring read the same
+    shuffle. The counts of the ``frequent`` most frequent words are broadcast.
+    A pair with a rare word goes to the bucket of that word, and so do its
+    counts; of two rare words, the second one's counts are joined first. A task
+    opens one bucket at a time, about one part in four times the shuffle
+    partitions. Rows are of (pair, document), so a pair that stands in every
+    document makes up no more than one part in the mean number of a document's
+    different pairs. Only that broadcast and a grid of held-out sums, both of
+    bounded size, reach driver and executors.
 
     Defined results: null, empty and wordless texts have no row; rows that
-    repeat a doc_id are one document, as are those with a null one; words
-    outside the vocabulary are one unknown word; words as frequent as the first
-    that doesn't fit are all outside; an empty table gives none; other columns
-    are ignored."""
+    repeat a doc_id are one document, as are those with a null one; an empty
+    table gives none; other columns are ignored."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = texts.mapInArrow(released(_counted(held)), "word string, n long, h long, e long, eh long").groupBy("word")
+    counts = texts.mapInArrow(released(_counted(held)), "word long, n long, h long, e long, eh long").groupBy("word")
     counts = table(counts.agg(*(F.sum(c).alias(c) for c in ("n", "h", "e", "eh"))).withColumn("all", F.col("n") + F.col("h")), "words")
     # The number of words of each frequency; frequencies above a million count as one.
     sizes = counts.groupBy(F.least("all", F.lit(1_000_000)).alias("f")).count().orderBy(F.desc("f")).collect()
-    room, least = vocabulary, 1_000_001
+    room, least = frequent, 1_000_001
     for row in sizes:
         room -= row["count"]
         if room < 0:
             break
         least = row["f"]
-    top = sorted(map(tuple, counts.where(F.col("all") >= least).select("word", "n", "h", "e", "eh").collect()))
-    sums = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "h", "e", "eh"))).first()
-    n, h, e, eh = np.array([r[1:] for r in top], np.int64).reshape(-1, 4).T
-    rest = np.array(sums, np.int64) - np.array([n.sum(), h.sum(), e.sum(), eh.sum()])
-    full = lambda x, unknown, start: np.concatenate([[unknown, start], x]).astype(np.int64)
-    word = [full(n, rest[0], 0), full(n + h, rest[0] + rest[1], 0)]
-    context = [
-        full(n - e, rest[0] - rest[2], sums.e),
-        full(n + h - e - eh, rest[0] + rest[1] - rest[2] - rest[3], sums.e + sums.eh),
-    ]
-    model = spark.sparkContext.broadcast({"word": word, "context": context, "total": [int(sums.n), int(sums.n + sums.h)]})
-    known = spark.sparkContext.broadcast([r[0] for r in top])
-    p0 = 1.0 / (len(top) + 1)
+    top = counts.where(F.col("all") >= least).select("word", "n", "h", "e", "eh").collect()
+    sums = counts.agg(F.count("*").alias("words"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "h", "e", "eh"))).first()
+    word, n, h, e, eh = np.array(top, np.int64).reshape(-1, 5).T
+    order = np.argsort(word.view(np.uint64))
+    word, n, h, e, eh = (x[order] for x in (word, n, h, e, eh))
+    full = lambda x, start: np.concatenate([[0, start], x]).astype(np.int64)
+    model = {"word": [full(n, 0), full(n + h, 0)], "context": [full(n - e, sums.e), full(n + h - e - eh, sums.e + sums.eh)], "total": [int(sums.n), int(sums.n + sums.h)]}
+    model = spark.sparkContext.broadcast(model)
+    known = spark.sparkContext.broadcast(word.view(np.uint64))
+    p0 = 1.0 / (sums.words + 1)
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = texts.mapInArrow(released(_pairs(known, held, buckets)), Blocks.SCHEMA).repartition("bucket")
-    grid = blocks.mapInArrow(released(_held(model, held)), HISTOGRAM).groupBy("s", "a", "b").agg(*(F.sum(c).alias(c) for c in ("w", "p2", "p1")))
+    pack = lambda df, kind, *names: df.mapInArrow(released(_packed(kind, names, buckets)), BLOCKS)
+    rare = counts.where(F.col("all") < least)
+    alone = texts.mapInArrow(released(_rare_pairs(known)), "u bigint, word bigint, doc bigint, c bigint, nu bigint, nv bigint").join(rare.select("word", "n", "all"), "word")
+    parts = texts.mapInArrow(released(_pairs(known, buckets)), BLOCKS)
+    parts = parts.unionByName(pack(alone, RARES, "u", "doc", "c", "nu", "nv", "word", "n", "all")).unionByName(pack(rare, WORD_COUNTS, "word", "n", "h", "e", "eh"))
+    blocks = parts.repartition("bucket")
+    grid = blocks.sortWithinPartitions("bucket").mapInArrow(released(_held(model, held)), HISTOGRAM).groupBy("s", "a", "b").agg(*(F.sum(c).alias(c) for c in ("w", "p2", "p1")))
     start = spark.createDataFrame([(-1, 0, 0, 1.0, 0.0, 0.0)], HISTOGRAM)  # so that there is a row even without held-out text
     lambdas = grid.unionByName(start).withColumn("_all", F.lit(0)).groupBy("_all").applyInArrow(_learned_all(p0), "lambdas binary")
-    scored = blocks.crossJoin(F.broadcast(lambdas)).mapInArrow(released(_scored(model, p0)), "doc_id bigint, bits double, words bigint")
+    # Spark drops a sort below a join.
+    scored = blocks.crossJoin(F.broadcast(lambdas)).sortWithinPartitions("bucket").mapInArrow(released(_scored(model, p0)), "doc_id bigint, bits double, words bigint")
     per_word = F.col("bits") / F.col("n_words")
     return (
         scored.groupBy("doc_id")
