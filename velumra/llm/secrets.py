@@ -124,27 +124,43 @@ def describe(found: str, before: str, after: str, path: str) -> list[float]:
 
 
 def labelled_findings(count: int = 6000, seed: int = 23) -> list[tuple[str, str, str, str, int]]:
-    """Findings with their label (candidate, before, after, path, is_secret),
-    written from public formats: keys and passwords beside words that announce
-    them; commits, checksums, identifiers, numbers and names beside theirs."""
+    """Findings with their label (candidate, before, after, path, is_secret).
+
+    No table labels secrets, so these are written from public formats alone:
+    the documented shapes of access keys, tokens, passwords and key blocks
+    beside the names that configuration files give them; and commits, digests,
+    identifiers, numbers, dates, addresses, paths, placeholders and names in
+    code beside theirs. The text around is English words of ``COMMON`` and
+    made-up words of consonants and vowels."""
     rng = random.Random(seed)
     pick = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
     hexes, alnum, b64 = "0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"
     words = sorted(COMMON)
-    syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    consonants, vowels = "bcdfghjklmnpqrstvwxz", "aeiouy"
+
+    def made_up(least: int = 1, most: int = 5) -> str:
+        return "".join(rng.choice(consonants) * (rng.random() < 0.8) + rng.choice(vowels) + rng.choice(["", "", rng.choice("lnrst")]) for _ in range(rng.randint(least, most)))
 
     def prose() -> str:
-        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 5))) + rng.choice(["", "", "", ".", ",", "###", "!!"]) for _ in range(rng.randint(0, 6)))
+        return " ".join((rng.choice(words) if rng.random() < 0.6 else made_up()) + rng.choice(["", "", "", "", ".", ","]) for _ in range(rng.randint(0, 7)))
 
     def lined(lead: str, tail: str) -> tuple[str, str]:
-        return (prose() + rng.choice([" ", "\n", ""]) + lead)[-CONTEXT:], (tail + rng.choice(["", "###", "$$$", "!!", "."]) + " " + prose())[:CONTEXT]
+        return (prose() + rng.choice([" ", " ", "\n", ""]) + lead)[-CONTEXT:], (tail + rng.choice(["", "", ".", ",", ";", ")", "\n"]) + " " + prose())[:CONTEXT]
+
+    def placeholder() -> str:
+        """What documentation writes where a secret belongs."""
+        mark = rng.choice("_-")
+        some = [rng.choice(["your", "my", "insert", "replace", "example", "enter", "the", "dummy"]), *rng.choice(names).replace("-", "_").split("_"), *rng.choice([[], ["here"], ["goes", "here"], ["value"]])]
+        text = mark.join(some) + rng.choice(["", mark + str(rng.randint(1, 99)), str(rng.randint(1, 9))])
+        return (text.upper() if rng.random() < 0.5 else text).ljust(16, rng.choice("x0"))
 
+    names = ["token", "secret", "password", "api_key", "apikey", "auth_token", "client_secret", "access_key", "secret_access_key", "passwd", "credential", "private_token", "db_password", "signing_key", "bearer"]
+    paths = ["src/main.py", "web/index.html", "config/settings.py", "app/main.js", "deploy.yaml", "notes.txt", "docker-compose.yml", ".env", "article", "mail", "wiki", "forum", ""]
     out = []
     for i in range(count):
-        path = rng.choice(["src", "web", "config/settings.py", "app/main.js", "deploy.yaml", "notes", "src" + str(rng.randint(0, 99))])
+        path = rng.choice(paths)
         if i % 2 == 0:
             kind = rng.randrange(9)
-            name = rng.choice(["token", "secret", "password", "api_key", "apikey", "auth_token", "client_secret", "access_key", "passwd", "credential", "private_token"])
             found = [
                 lambda: pick(hexes, rng.choice([32, 40, 40, 48, 64])),
                 lambda: pick(alnum, rng.randint(20, 60)),
@@ -153,52 +169,58 @@ def labelled_findings(count: int = 6000, seed: int = 23) -> list[tuple[str, str,
                 lambda: rng.choice(["ghp_", "gho_", "sk_live_", "xoxb-", "glpat-", "npm_", "AIza", "sk-"]) + pick(alnum, 36),
                 lambda: "eyJ" + pick(alnum, 24) + ".eyJ" + pick(alnum + "_-", 40) + "." + pick(alnum + "_-", 43),
                 lambda: pick(alnum + "!@#%^&*", rng.randint(9, 20)),
-                lambda: pick(hexes, 40),
-                lambda: "-----BEGIN " + rng.choice(["", "RSA ", "EC "]) + "PRIVATE KEY-----",
+                lambda: made_up(2, 3).capitalize() + rng.choice("!@#%^&*_-") + pick(string.digits, rng.randint(2, 4)) + rng.choice(["", "!", "#", pick(alnum, 3)]),
+                lambda: "-----BEGIN " + rng.choice(["", "RSA ", "EC ", "OPENSSH "]) + "PRIVATE KEY-----",
             ][kind]()
-            mark = rng.choice([' = "', '="', ": '", ': "', " = '", " : \"", "=", ": "])
+            found = found if len(found) >= 8 else found + pick(alnum, 8 - len(found))
+            mark = rng.choice([' = "', '="', ': "', "': '", " = '", '": "', "=", ": ", " = "])
             if kind in (3, 4, 5, 8) and rng.random() < 0.4:
                 lead, tail = rng.choice(["", "use ", "with ", "("]), ""
             else:
-                lead, tail = name + mark, mark[-1] if mark[-1] in "\"'" else ""
-            if rng.random() < 0.2:
-                lead, path = lead.upper(), path
-                found = found.upper() if kind in (0, 7) else found
+                name = rng.choice(names)
+                lead, tail = (name.upper() if rng.random() < 0.25 else name.replace("_", "-") if rng.random() < 0.2 else name) + mark, mark[-1] if mark[-1] in "\"'" else ""
+            if kind == 0 and rng.random() < 0.2:
+                found = found.upper()
             before, after = lined(lead, tail)
             out.append((found, before, after, path, 1))
         else:
             kind = rng.randrange(14)
             if kind == 0:
-                found, lead = pick(hexes, 40), rng.choice(["commit ", "revision: ", "merge ", "sha1: ", "commit = \"", "checkout "])
+                found, lead = pick(hexes, 40), rng.choice(["commit ", "revision: ", "merge ", "sha1: ", 'commit = "', "checkout ", "parent "])
             elif kind == 1:
-                found, lead = pick(hexes, rng.choice([32, 64])), rng.choice(["md5: ", "sha256:", "checksum = \"", "hash: ", "digest=", "etag: \""])
+                found, lead = pick(hexes, rng.choice([32, 64])), rng.choice(["md5: ", "sha256:", 'checksum = "', "hash: ", "digest=", 'etag: "'])
             elif kind == 2:
                 h = pick(hexes, 32)
-                found, lead = f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", rng.choice(["id: ", "uuid = \"", "", "trace ", "request "])
+                found, lead = f"{h[:8]}-{h[8:12]}-{h[12:16]}-{h[16:20]}-{h[20:]}", rng.choice(["id: ", 'uuid = "', "", "trace ", "request "])
             elif kind == 3:
-                found, lead = pick(string.digits, rng.choice([16, 16, 18, 20])), rng.choice(["", "card ", "order ", "invoice: ", "number = "])
+                found, lead = pick(string.digits, rng.randint(16, 24)), rng.choice(["", "account ", "order ", "invoice: ", "number = ", "isbn ", "tracking "])
             elif kind == 4:
-                found, lead = "/".join(rng.choices(words, k=rng.randint(3, 6))) + str(rng.randint(1, 99)), rng.choice(["", "path = \"", "url: ", "import "])
+                found, lead = rng.choice(["", "/", "./"]) + "/".join(rng.choices(words, k=rng.randint(3, 6))) + str(rng.randint(1, 99)) + rng.choice(["", ".html", ".py"]), rng.choice(["", 'path = "', "url: ", "import ", 'href="'])
             elif kind == 5:
-                found, lead = "".join(w.capitalize() for w in rng.choices(words, k=rng.randint(3, 5))) + str(rng.randint(1, 9)), rng.choice(["", "class ", "name = \"", "new "])
+                found, lead = "".join(w.capitalize() for w in rng.choices(words, k=rng.randint(3, 5))) + str(rng.randint(1, 9)), rng.choice(["", "class ", 'name = "', "new "])
             elif kind == 6:
-                found, lead = "".join(rng.choices(syllables, k=rng.randint(6, 12))) + rng.choice(["", "1", "22"]), rng.choice(["", "word: \"", "title = \""])
+                found, lead = made_up(6, 9) + rng.choice(["", "1", "22"]), rng.choice(["", 'word: "', 'title = "'])
             elif kind == 7:
-                found, lead = pick(string.ascii_lowercase, 4) + "." + str(rng.randint(1, 99)) + "mail" + str(rng.randint(0, 9)) + ".example.com", ""
+                found, lead = ".".join([made_up(2, 3), rng.choice(["", made_up(2, 3) + "."]) + rng.choice(["www", "host", "mx", "cdn"]) + str(rng.randint(0, 20)), made_up(2, 4), rng.choice(["com", "org", "net", "example"])]), rng.choice(["", "host: ", "server=", "at "])
             elif kind == 8:
-                found, lead = f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-{rng.randint(10, 59)}", rng.choice(["date: ", "at ", "time = \""])
+                found, lead = f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}T{rng.randint(10, 23)}-{rng.randint(10, 59)}", rng.choice(["date: ", "at ", 'time = "'])
             elif kind == 9:
-                found, lead = rng.choice(["<your-token-here>", "xxxxxxxxxxxxxxxx1", "changeme12345678", "EXAMPLE_KEY_1234567", "your_api_key_123456", "0000000000000000", "aaaaaaaaaaaaaaaa0", "1234567890123456"]), rng.choice(["token = \"", "api_key: \"", "password='"])
+                found, lead = rng.choice(["<your-token-here>", "xxxxxxxxxxxxxxxx1", "changeme12345678", "EXAMPLE_KEY_1234567", "your_api_key_123456", "0000000000000000", "aaaaaaaaaaaaaaaa0", "1234567890123456", "${SECRET_KEY_2}", placeholder(), placeholder(), placeholder()]), rng.choice(['token = "', 'api_key: "', "password='", "api_key: ", "secret=", "TOKEN="])
             elif kind == 10:
-                found, lead, path = pick(hexes, 40), rng.choice(["integrity ", "resolved ", "hash \"", ""]), rng.choice(["package-lock.json", "vendor/list", "test/fixtures"])
+                found, lead, path = pick(hexes, 40), rng.choice(["integrity ", "resolved ", 'hash "', ""]), rng.choice(["package-lock.json", "vendor/list", "test/fixtures"])
             elif kind == 11:
-                found = rng.choice([w for w in words if len(w) >= 8]) if rng.random() < 0.5 else pick(syllables, rng.randint(4, 8))
+                found = rng.choice([w for w in words if len(w) >= 8]) if rng.random() < 0.5 else made_up(4, 6)
+                found = found if len(found) >= 8 else found + "ations"
                 lead = rng.choice(["token", "secret", "password", "key", "credential", "note", "name", "title", "see"]) + rng.choice([": ", "=", " = ", ":"])
             elif kind == 12:
-                found = rng.choice([f"{rng.randint(10, 59)}:{rng.randint(10, 59)}.{rng.randint(100, 999)}", pick(string.digits, rng.randint(8, 12)), f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{rng.choice(words)}@{rng.choice(words)}.example"])
-                lead = rng.choice(["date", "time", "10", "order", "phone", "mail", "contact", "number", "size"]) + rng.choice([": ", "=", " = ", ":"])
+                found = rng.choice([f"{rng.randint(10, 59)}:{rng.randint(10, 59)}.{rng.randint(100, 999)}", pick(string.digits, rng.randint(8, 12)), f"{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", f"{made_up(2, 4)}.{made_up(2, 4)}@{made_up(2, 4)}.{rng.choice(['com', 'org', 'example'])}", f"https://{made_up(2, 4)}.{rng.choice(['com', 'org'])}/{rng.choice(words)}/{rng.randint(1, 9999)}"])
+                lead = rng.choice(["date", "time", "10", "order", "phone", "mail", "contact", "number", "size", "link", "source"]) + rng.choice([": ", "=", " = ", ":"])
             else:
-                found, lead = "_".join(rng.choices(words, k=rng.randint(3, 5))) + str(rng.randint(1, 9)), rng.choice(["", "name = \"", "id: ", "key: \""])
+                some = [w.capitalize() if rng.random() < 0.3 else w for w in rng.choices(words, k=rng.randint(3, 5))]
+                if rng.random() < 0.4:
+                    some.insert(rng.randint(0, len(some)), str(rng.randint(1, 99999)))
+                found = some[0] + "".join(rng.choice(["_", "-", ".", "/"] if rng.random() < 0.2 else [some_mark]) + w for w in some[1:] for some_mark in [rng.choice("_-.")]) + str(rng.randint(1, 9))
+                lead = rng.choice(["", "", 'name = "', "id: ", 'key: "', "branch ", "see "])
             before, after = lined(lead, lead[-1] if lead[-1:] in ("\"", "'") else "")
             out.append((found, before, after, path, 0))
     return out
@@ -269,7 +291,11 @@ def findings(docs: DataFrame, forest: Forest | None = None, threshold: float = T
 
 def redacted_documents(docs: DataFrame, forest: Forest | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """All rows of ``docs``, each secret replaced by ``REDACTED`` and n_chars,
-    if there is one, counted anew where something was replaced."""
+    if there is one, counted anew where something was replaced. Defined
+    results: null, empty and blank texts stay as they are, as do all columns of
+    documents without a secret; a null source is an empty path; repeated rows
+    are redacted alike; an empty table stays empty; columns may have any other
+    name."""
     model = docs.sparkSession.sparkContext.broadcast(forest or train())
     text, source, clean, hits = names = unused(docs.columns, "__text", "__source", "__clean", "__hits")
     named = docs.select("*", F.col("text").cast("string").alias(text), F.col("source").cast("string").alias(source))
