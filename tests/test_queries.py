@@ -6,7 +6,7 @@ from conftest import SMALLEST
 
 from velumra.plans import queries
 
-WITHOUT = {"centrality_full", "topology_hash", "random_normal", "mlp_train"}
+WITHOUT = {"centrality_full", "topology_hash", "mlp_train"}
 
 
 def test_every_query_has_sql_or_a_reason():

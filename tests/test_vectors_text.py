@@ -81,6 +81,31 @@ def test_similar_documents(spark):
     assert found == {(0, 1): 1.0, (0, 2): pytest.approx(0.7071, abs=1e-4), (1, 2): pytest.approx(0.7071, abs=1e-4)}
 
 
+def test_similar_documents_against_all_pairs(spark):
+    """Words of very different frequency, near copies, and a search."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"word{k}" for k in range(300)])
+    share = 1 / np.arange(1, 301)
+    rows = [rng.choice(words, rng.integers(1, 40), p=share / share.sum()).tolist() for _ in range(120)]
+    rows += [r + [words[rng.integers(0, 300)]] for r in rows[::3]]
+    counts = np.array([[r.count(w) for w in words] for r in rows], float)
+    counts /= np.linalg.norm(counts, axis=1)[:, None]
+    cosine = counts @ counts.T
+    d = docs(spark, *(" ".join(r) for r in rows))
+    for least in (0.3, 0.8, 0.95):
+        got = {(r.doc_a, r.doc_b): r.cosine for r in text.similar_documents(d, least).collect()}
+        want = {(i, j): cosine[i, j] for i in range(len(rows)) for j in range(i + 1, len(rows)) if cosine[i, j] >= least - 5e-7}
+        assert len(want) > 20 and got == {k: pytest.approx(v, abs=1e-6) for k, v in want.items()}
+    got = {(r.doc_a, r.doc_b) for r in text.similar_documents(d, 0.8, F.col("doc_id") % 7 == 0).collect()}
+    assert got == {(i, j) for i in range(0, len(rows), 7) for j in range(len(rows)) if i != j and cosine[i, j] >= 0.8}
+
+
+def test_encoding_by_own_words(spark):
+    d = docs(spark, "pear pear plum", "plum fig_tree", None, "plum pear plum")
+    want = sorted(map(tuple, text.encode(d, text.vocabulary(d)).collect()))
+    assert sorted(map(tuple, text.encode_by_own(d).collect())) == want and len(want) == 6
+
+
 def test_nearest_against_numpy(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 5)).round(1)

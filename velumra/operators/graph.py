@@ -9,12 +9,15 @@ if they are equal in lower case.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.lineage import table
 from ..plans.prefix import prefix_sum
 
 ASSOCIATIVE, STRUCTURAL = 0, 1
@@ -90,6 +93,14 @@ def get_node(nodes: DataFrame, id_: str):
     return found
 
 
+def lookup(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(asked, id, found) for each row of ``ids.id``: the id that the node has
+    in the graph, null if there is none. Null and empty ids are never found."""
+    known = nodes.select("id", key(F.col("id")).alias("_key")).dropDuplicates(["_key"])
+    asked = ids.select(F.col("id").alias("asked"))
+    return asked.join(known, key(F.col("asked")) == F.col("_key"), "left").select("asked", "id", F.col("id").isNotNull().alias("found"))
+
+
 def neighbours(edges: DataFrame, id_: str) -> DataFrame:
     return edges.where(key(F.col("src")) == id_.lower())
 
@@ -153,19 +164,30 @@ class Compiled:
 
     def topology_hash(self) -> bytes:
         """SHA-256 of row starts, targets and weights as little-endian int32,
-        int32 and float32. Rows stream through the driver in order; it keeps a
-        partition at a time."""
+        int32 and float32. Both tables are sorted once and packed by the
+        executors; only bytes stream through the driver, a part at a time."""
         digest = hashlib.sha256()
         digest.update(np.zeros(1, "<i4").tobytes())
-        for row in self.row_ptr().select("idx", "row_end").orderBy("idx").toLocalIterator():
-            digest.update(np.array([row.row_end], "<i4").tobytes())
-        order = ["src_idx", "dst_idx"]
-        for column, kind in (("dst_idx", "<i4"), ("weight", "<f4")):
-            for row in self.edges.select(*order, "weight").orderBy(*order).toLocalIterator():
-                digest.update(np.array([row[column]], kind).tobytes())
+        ends = _packed(self.row_ptr().select("idx", "row_end"), ["idx"], {"row_end": "<i4"})
+        edges = _packed(self.edges.select("src_idx", "dst_idx", "weight"), ["src_idx", "dst_idx"], {"dst_idx": "<i4", "weight": "<f4"})
+        for packed, column in ((ends, "row_end"), (edges, "dst_idx"), (edges, "weight")):
+            for row in packed.orderBy("part", "at").select(column).toLocalIterator():
+                digest.update(row[column])
         return digest.digest()
 
 
+def _packed(df: DataFrame, order: list[str], kinds: dict[str, str]) -> DataFrame:
+    """(part, at, columns as bytes) of the rows in order, many to a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for at, batch in enumerate(batches):
+            columns = [pa.array([batch.column(c).to_numpy(zero_copy_only=False).astype(k).tobytes()], pa.binary()) for c, k in kinds.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), *columns], names=["at", *kinds])
+
+    packed = df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, ", ".join(["at bigint", *(f"{c} binary" for c in kinds)]))
+    return table(packed.withColumn("part", F.spark_partition_id()), "packed")
+
+
 def _indexed(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return prefix_sum(df.withColumn("_one", F.lit(1).cast("long")), order, "_one", out).drop("_one")
 

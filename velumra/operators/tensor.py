@@ -66,7 +66,8 @@ def zeros(spark: SparkSession, rows: int, cols: int) -> Matrix:
 def gaussian(spark: SparkSession, rows: int, cols: int, seed: int = 0) -> Matrix:
     """Standard normal cells. They follow from seed, row and column alone, so a
     task that is run again, or a table cut otherwise, gives the same."""
-    unit = lambda k: (F.shiftrightunsigned(F.xxhash64("i", "j", F.lit(seed), F.lit(k)), 11).cast("double") + 1.0) / float(2**53 + 1)
+    digest = lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("i").cast("string"), F.col("j").cast("string"), F.lit(str(k))))
+    unit = lambda k: (F.conv(F.substring(digest(k), 1, 13), 16, 10).cast("double") + 1.0) / float(2**52 + 1)
     return _filled(spark, rows, cols, F.sqrt(-2.0 * F.ln(unit(0))) * F.cos(2.0 * math.pi * unit(1)))
 
 

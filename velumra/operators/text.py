@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.lineage import table
 from ..plans.prefix import prefix_sum
 
 SEPARATORS = r"""[ \-.,!?:;()\[\]{}"'`/\\\t\n\r*+=<>#@$^&|~]+"""
@@ -47,15 +48,23 @@ def idf(docs: DataFrame) -> DataFrame:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """(word, word_idx): words in order of first appearance, by doc_id and then
     place. The rank is a two-pass prefix sum, not a one-task window."""
-    placed = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
+    return _numbered(docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "word")))
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
     first = placed.groupBy("word").agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     ones = first.select("word", F.col("at.doc_id").alias("_doc"), F.col("at.pos").alias("_pos"), F.lit(1).cast("long").alias("_one"))
     return prefix_sum(ones, [F.col("_doc"), F.col("_pos")], "_one", "word_idx").select("word", "word_idx")
 
 
 def tfidf(docs: DataFrame) -> DataFrame:
-    """(doc_id, word, tf, weight), sparse."""
-    return term_counts(docs).join(idf(docs), "word").select("doc_id", "word", "tf", (F.col("tf") * F.col("idf")).alias("weight"))
+    """(doc_id, word, tf, weight), sparse. Documents are cut into words once:
+    frequencies are counts of the counts, which reuse their shuffle."""
+    counts = term_counts(docs)
+    df = counts.groupBy("word").agg(F.count("*").alias("df"))
+    total = docs.agg(F.count("*").alias("_docs"))  # one row
+    weighted = counts.join(df, "word").crossJoin(F.broadcast(total))
+    return weighted.select("doc_id", "word", "tf", (F.col("tf") * F.ln(F.col("_docs") / F.col("df"))).alias("weight"))
 
 
 def top_words(docs: DataFrame, count: int) -> DataFrame:
@@ -72,14 +81,26 @@ def encode(docs: DataFrame, vocab: DataFrame) -> DataFrame:
     return term_counts(docs).join(vocab, "word").select("doc_id", "word_idx", "tf")
 
 
-def similar_documents(docs: DataFrame, least: float) -> DataFrame:
-    """(doc_a, doc_b, cosine) of all pairs of documents whose term-count
-    vectors have a cosine of at least ``least``, which must be positive.
+def encode_by_own(docs: DataFrame) -> DataFrame:
+    """``encode`` by the documents' own ``vocabulary``, cutting them into words once."""
+    placed = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "word"))
+    counts = table(placed.groupBy("doc_id", "word").agg(F.count("*").alias("tf"), F.min("pos").alias("pos")), "counts")
+    return counts.join(_numbered(counts), "word").select("doc_id", "word_idx", "tf")
+
+
+def similar_documents(docs: DataFrame, least: float, asked: Column | None = None) -> DataFrame:
+    """(doc_a, doc_b, cosine) of pairs of documents whose term-count vectors
+    have a cosine of at least ``least``, which must be positive: of all pairs
+    doc_a < doc_b, or, as a search, of each document doc_a for which ``asked``
+    is true with all others.
 
     Exact, without joining on common words: in each document words are put in
     order from frequent to rare, and those at the front whose part of the unit
     vector is shorter than ``least`` can't make a pair alone. So a pair shares
-    one of the words that remain; only these are joined for candidates."""
+    one of the words that remain; only these are joined for candidates. What
+    the shared ones of them give, with the length of the front that is shorter
+    in unit (of the document whose front ends later), bounds the cosine from
+    above, and candidates under ``least`` go before any vector is fetched."""
     if least <= 0:
         raise ValueError("least must be positive")
     counts = term_counts(docs)
@@ -91,9 +112,19 @@ def similar_documents(docs: DataFrame, least: float) -> DataFrame:
         .withColumn("w", F.col("tf") / F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(whole)))
         .withColumn("upto", F.sum(F.col("w") * F.col("w")).over(upto))
     )
-    rare = unit.where(F.col("upto") >= least * least * (1 - 1e-9)).select("doc_id", "word")
-    a, b = (rare.select(F.col("doc_id").alias(n), "word") for n in ("doc_a", "doc_b"))
-    pairs = a.join(b, "word").where("doc_a < doc_b").select("doc_a", "doc_b").distinct()
+    unit = table(unit.select("doc_id", "word", "df", "w", "upto"), "unit")
+    cut = least * least * (1 - 1e-9)
+    rare = unit.where(F.col("upto") >= cut)
+    # Where the front ends: its last word in the order, and its squared length.
+    front = rare.groupBy("doc_id").agg(F.min(F.struct((-F.col("df")).alias("df"), "word")).alias("ends"), F.min(F.col("upto") - F.col("w") * F.col("w")).alias("front"))
+    rare = rare.join(front, "doc_id")
+    left = rare if asked is None else rare.where(asked)
+    a = left.select(F.col("doc_id").alias("doc_a"), "word", F.col("w").alias("wa"), F.col("ends").alias("ea"), F.col("front").alias("fa"))
+    b = rare.select(F.col("doc_id").alias("doc_b"), "word", F.col("w").alias("wb"), F.col("ends").alias("eb"), F.col("front").alias("fb"))
+    met = a.join(b, "word").where("doc_a < doc_b" if asked is None else "doc_a != doc_b").groupBy("doc_a", "doc_b")
+    later = F.when(F.col("ea") > F.col("eb"), F.col("fa")).otherwise(F.col("fb"))
+    pairs = met.agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(later).alias("front"))
+    pairs = pairs.where(F.col("part") + F.sqrt(F.greatest("front", F.lit(0.0))) >= least - 1e-6).select("doc_a", "doc_b")
     left = unit.select(F.col("doc_id").alias("doc_a"), "word", F.col("w").alias("wa"))
     right = unit.select(F.col("doc_id").alias("doc_b"), "word", F.col("w").alias("wb"))
     found = pairs.join(left, "doc_a").join(right, ["doc_b", "word"]).groupBy("doc_a", "doc_b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))

@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import ASSOCIATIVE, STRUCTURAL, Compiled, accumulate, compile_graph
 
-#: Co-supply edges of less weight are left out of the graphs that are walked.
-STRONG = 80.0
-
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,8 +57,8 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Co-supply edges of weight over ``STRONG``."""
-    return accumulate(supply_log(spark, sf_dir)).where(F.col("weight") > STRONG)
+    """All edges between suppliers and the parts that they delivered."""
+    return accumulate(supply_log(spark, sf_dir))
 
 
 def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from ..operators.text import STOP_WORDS
-from .graphs import STRONG
 
 
 def _id(letter: str, key: str) -> str:
@@ -49,21 +48,20 @@ FOLD = """
 directed AS (
   SELECT a AS src, b AS dst, delta, ts, type FROM log UNION ALL SELECT b, a, delta, ts, type FROM log WHERE type = 0 AND a <> b
 ), {name} AS (
-  SELECT src, dst, sum(delta) AS weight, max(ts) AS last_modified, max(type)::INTEGER AS type FROM directed GROUP BY src, dst{having}
+  SELECT src, dst, sum(delta) AS weight, max(ts) AS last_modified, max(type)::INTEGER AS type FROM directed GROUP BY src, dst
 )"""
-HIERARCHY = HIERARCHY_LOG + "," + FOLD.format(name="edges", having="")
-SUPPLY_ALL = SUPPLY_LOG + "," + FOLD.format(name="edges", having="")
-SUPPLY = SUPPLY_LOG + "," + FOLD.format(name="edges", having=f" HAVING sum(delta) > {STRONG}")
-EVENTS = EVENT_LOG + "," + FOLD.format(name="edges", having="")
+HIERARCHY = HIERARCHY_LOG + "," + FOLD.format(name="edges")
+SUPPLY = SUPPLY_LOG + "," + FOLD.format(name="edges")
+EVENTS = EVENT_LOG + "," + FOLD.format(name="edges")
 MIXED = (
     HIERARCHY_LOG.replace("log AS", "hlog AS")
     + ","
     + SUPPLY_LOG
     + ","
-    + FOLD.format(name="strong", having=f" HAVING sum(delta) > {STRONG}")
+    + FOLD.format(name="supplied")
     + """, edges AS (
   SELECT a AS src, b AS dst, sum(delta) AS weight, max(ts) AS last_modified, 1 AS type FROM hlog GROUP BY ALL
-  UNION ALL SELECT * FROM strong
+  UNION ALL SELECT * FROM supplied
 )"""
 )
 COMPILED = """,
@@ -78,10 +76,11 @@ def _graph(edges: str, select: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{edges}{COMPILED}{select}"
 
 
-_REACH = """, reach AS (
-  SELECT idx, idx AS label FROM node_index UNION SELECT dst_idx, label FROM reach JOIN csr ON src_idx = idx{where}
+_LEAST = """, cc(idx, label) USING KEY (idx) AS (
+  SELECT idx, idx FROM node_index
+  UNION (SELECT dst_idx, min(c.label) FROM cc c JOIN csr ON src_idx = c.idx JOIN recurring.cc k ON k.idx = dst_idx WHERE c.label < k.label{where} GROUP BY dst_idx)
 )"""
-_LABELS = _REACH.format(where="") + ", islands AS (SELECT idx, min(label) AS island FROM reach GROUP BY idx)"
+_LABELS = _LEAST.format(where="") + ", islands AS (SELECT idx, label AS island FROM cc)"
 
 
 def _centrality(rounds: int) -> str:
@@ -147,7 +146,7 @@ SELECT vec_id, list_transform(v, lambda x: round(CASE WHEN norm < 1e-7 THEN x EL
     "knn_topk": """WITH far AS (
   SELECT a.vec_id AS query_id, b.vec_id AS point_id,
     sqrt(list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS distance
-  FROM embeddings a, embeddings b
+  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0
 )
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id)::INTEGER AS rank, point_id, round(distance, 6) AS distance
 FROM far QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, point_id) <= 10""",
@@ -170,12 +169,15 @@ SELECT doc_id, word_idx, tf FROM counts JOIN vocab USING (word)"""),
   SELECT doc_id, word, tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_id)) AS w FROM counts
 )
 SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(sum(a.w * b.w), 6) AS cosine
-FROM unit a JOIN unit b USING (word) WHERE a.doc_id < b.doc_id GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= 0.95"""),
+FROM unit a JOIN unit b USING (word) WHERE a.doc_id % 50 = 0 AND a.doc_id <> b.doc_id GROUP BY ALL HAVING round(sum(a.w * b.w), 6) >= 0.8"""),
     "graph_upsert_nodes": f"""WITH log AS (
   SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'C' ELSE 'c' END || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS id, o_orderpriority AS data, o_orderkey AS seq FROM orders
 )
 SELECT arg_min(id, seq) AS id, arg_min(data, seq) AS data FROM log GROUP BY lower(id)""",
-    "graph_accumulate": f"WITH {SUPPLY_ALL}\n{_EDGES}",
+    "graph_lookup": """WITH nodes AS (SELECT DISTINCT 'c' || lpad(CAST(o_custkey AS VARCHAR), 7, '0') AS id FROM orders),
+asked AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'C' ELSE 'c' END || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS asked FROM customer)
+SELECT asked, id, id IS NOT NULL AS found FROM asked LEFT JOIN nodes ON lower(asked) = id""",
+    "graph_accumulate": f"WITH {SUPPLY}\n{_EDGES}",
     "graph_accumulate_events": f"WITH {EVENTS}\n{_EDGES}",
     "stream_accumulate": f"WITH {EVENTS}\n{_EDGES}",
     "graph_add_edges": f"WITH {HIERARCHY}\n{_EDGES}",
@@ -208,14 +210,15 @@ SELECT src_idx AS source_index, dst_idx AS target_index, weight FROM csr WHERE s
     "graph_weights": _graph(MIXED, "\nSELECT 0::BIGINT AS i, (row_number() OVER (ORDER BY src_idx, dst_idx) - 1)::BIGINT AS j, weight AS v FROM csr"),
     "graph_jaccard": _graph(
         SUPPLY,
-        """, degree AS (SELECT src_idx, count(*) AS d FROM csr GROUP BY src_idx), met AS (
-  SELECT a.src_idx AS u, b.src_idx AS v, count(*) AS n FROM csr a JOIN csr b USING (dst_idx) WHERE a.src_idx < b.src_idx GROUP BY ALL
+        """, supplied AS (SELECT csr.* FROM csr JOIN node_index ON idx = src_idx WHERE id LIKE 's%'),
+degree AS (SELECT src_idx, count(*) AS d FROM supplied GROUP BY src_idx), met AS (
+  SELECT a.src_idx AS u, b.src_idx AS v, count(*) AS n FROM supplied a JOIN supplied b USING (dst_idx) WHERE a.src_idx < b.src_idx GROUP BY ALL
 )
 SELECT u, v, round(n / (p.d + q.d - n)::DOUBLE, 6) AS similarity FROM met JOIN degree p ON p.src_idx = u JOIN degree q ON q.src_idx = v""",
     ),
     "components_weak": _graph(SUPPLY, _LABELS + "\nSELECT idx, island AS component FROM islands", True),
-    "components_weak_threshold": _graph(SUPPLY, _REACH.format(where=" AND weight > 120") + "\nSELECT idx, min(label) AS component FROM reach GROUP BY idx", True),
-    "components_directed": _graph(HIERARCHY, _REACH.format(where="") + "\nSELECT idx, min(label) AS component FROM reach GROUP BY idx", True),
+    "components_weak_threshold": _graph(SUPPLY, _LEAST.format(where=" AND weight > 120") + "\nSELECT idx, label AS component FROM cc", True),
+    "components_directed": _graph(HIERARCHY, _LABELS + "\nSELECT idx, island AS component FROM islands", True),
     "dependency_depth": _depth(3),
     "dependency_depth_structural": _depth(-1),
     "flow_rank": _graph(
@@ -248,5 +251,7 @@ UNION ALL SELECT 'b', a.j, b.j, round(sum(a.v * b.v), 6) FROM x a JOIN x b USING
     "linear_forward": _cells("SELECT m.i, m.j, round(m.v + bias.v, 6) AS v FROM (SELECT x.i, w.j, sum(x.v * w.v) AS v FROM x JOIN w ON x.j = w.i GROUP BY x.i, w.j) m JOIN bias USING (j)"),
     "sgd_step": _cells("""SELECT w.i, w.j, round(w.v - 0.01::DOUBLE * g.v, 6) AS v FROM w
 JOIN (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM x a JOIN x b USING (i) GROUP BY a.j, b.j) g USING (i, j)"""),
+    "random_normal": """SELECT i, j, round(sqrt(-2.0::DOUBLE * ln(((('0x' || substr(md5('42:' || i || ':' || j || ':0'), 1, 13))::BIGINT + 1.0::DOUBLE) / 4503599627370497.0::DOUBLE))) * cos(2.0::DOUBLE * pi() * ((('0x' || substr(md5('42:' || i || ':' || j || ':1'), 1, 13))::BIGINT + 1.0::DOUBLE) / 4503599627370497.0::DOUBLE)), 6) AS v
+FROM range(100) a(i), range(64) b(j)""",
     "zeros": "SELECT i, j, 0.0::DOUBLE AS v FROM range(100) a(i), range(64) b(j)",
 }
