@@ -86,7 +86,10 @@ WEIGHTS = {"src0": 4.0, "src1": 2.0}
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose unit is in the queue."""
+    """The rows of ``docs``, all columns, whose unit is in the queue. Defined
+    results as ``mix``: null sources and ids are values of their own, rows that
+    repeat (source, doc_id) stay or go together, null and empty texts cost
+    nothing, an empty table stays empty, and columns may have any other name."""
     s, d = unused(docs.columns, "_s", "_d")
     queue = mix(docs, **options).select(F.col("source").alias(s), F.col("doc_id").alias(d))
     same = F.col("source").eqNullSafe(F.col(s)) & F.col("doc_id").cast("long").eqNullSafe(F.col(d))

@@ -188,22 +188,30 @@ def _broadcast(docs: DataFrame, model: Machine):
 
 
 def scores(docs: DataFrame, model: Machine) -> DataFrame:
-    """(doc_id, score) for every row of ``docs``. A null text counts as empty,
-    null metadata as the value "None"; repeated rows score alike; an empty
-    table gives none; other columns are ignored."""
+    """(doc_id, score) for every row of ``docs``, from its whole text.
+
+    Defined results: a null text counts as empty, null metadata as the value
+    "None", a null doc_id stays null; very long texts saturate the steps of
+    length; repeated rows and ties score alike; an empty table gives none;
+    other columns are ignored."""
     return _plain(docs).mapInArrow(released(_scored(_broadcast(docs, model), "score", ["text", "lang", "source"])), "doc_id bigint, score double")
 
 
 def passed(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, score) of the documents that the classifier keeps: those of at
     least its threshold, which is the score that all but ``REJECTED`` of the
-    good held-out documents reach, and 0.5 at most."""
+    good held-out documents reach, and 0.5 at most. Defined results as
+    ``scores``; rows that tie with the threshold are kept, and without labels
+    of both classes all are."""
     model = train(docs, labels, sample)
     return scores(docs, model).where(F.col("score") >= model.threshold)
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs``, all columns, that the classifier keeps."""
+    """The rows of ``docs``, all columns, that the classifier keeps. Defined
+    results as ``passed``: null and empty texts are judged like others, rows
+    that repeat stay or go together, an empty table stays empty, and columns
+    may have any other name."""
     model = train(docs, labels, sample)
     score, *read = unused(docs.columns, "__score", "__text", "__lang", "__source")
     named = docs.select("*", *(F.col(c).cast("string").alias(n) for c, n in zip(("text", "lang", "source"), read)))
