@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import weak_components
-from ..plans.lineage import drop, table, tidy
+from ..plans.lineage import table, tidy
 from ..plans.memory import released
 from .words import WORDS, Blocks, WordHashes, mix, shingles, unblock
 
@@ -27,6 +28,8 @@ SIMILAR = 0.7
 PASSAGE = 25
 #: In a bucket where a tie fails, so many that failed meet so many of the bucket in one step.
 PART = 4096
+#: In a part of so few members all pairs are compared.
+FEW = 6
 #: Prints that a task remembers, so as not to send their word pairs again.
 SEEN = 1_000_000
 #: Begins with one set of characters, so that the scan skips all others.
@@ -131,7 +134,8 @@ def band_keys(grams: list[bytes], bands: int = BANDS, rows: int = ROWS, seed: in
             odd, more = (np.uint64(x) for x in rng.integers(0, 2**63, 2))
             least = np.minimum.reduceat((g * (odd * np.uint64(2) + np.uint64(1)) + more) >> np.uint64(24), begin)
             key = key * np.uint64(0x9E3779B97F4A7C15) + mix(least)
-        out[:, b] = mix(key)
+        # 48 bits are enough to tell buckets apart, and take less room in a block.
+        out[:, b] = mix(key) & ~np.uint64(0xFFFF)
     return out
 
 
@@ -162,6 +166,8 @@ def _stars(found: pa.Table) -> pa.Table:
 def alike(x: list[bytes], y: list[bytes], least: float) -> np.ndarray:
     """Whether the Jaccard index of each pair of sets reaches ``least``."""
     sizes = [np.array([len(g) // 4 for g in side], np.int64) for side in (x, y)]
+    if not len(x):
+        return np.empty(0, bool)
     keyed = [
         (np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(32)) | np.frombuffer(b"".join(side), "<u4") for n, side in zip(sizes, (x, y))
     ]
@@ -216,28 +222,41 @@ def links(prints: list[int], alike: list[bool], sets: list[np.ndarray], least: f
 
 
 def _linked(least: float):
-    """Of rows in order of (key, i, j), the part of a bucket in one task."""
+    """Of rows in order of (key, i, j), the part of a bucket in one task. The
+    pairs of small parts are compared together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, rows = None, {}
-
-        def pairs() -> list[tuple[int, int]]:
-            same, raw = zip(*rows.values())
-            return links(list(rows), list(same), [np.frombuffer(x, "<u4") for x in raw], least) if len(rows) > 1 else []
-
-        def batch_of(edges: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        edges: list[tuple[int, int]] = []
+        waiting: tuple[list, list, list] = ([], [], [])
+
+        def close() -> None:
+            if len(rows) > FEW:
+                same, raw = zip(*rows.values())
+                edges.extend(links(list(rows), list(same), [np.frombuffer(x, "<u4") for x in raw], least))
+                return
+            for (a, (one, x)), (b, (other, y)) in combinations(rows.items(), 2):
+                if not (one and other):
+                    for held, value in zip(waiting, ((a, b), x, y)):
+                        held.append(value)
+
+        def found() -> pa.RecordBatch:
+            pairs, x, y = waiting
+            edges.extend(p for p, yes in zip(pairs, alike(x, y, least)) if yes)
+            out = pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            for held in (edges, *waiting):
+                held.clear()
+            return out
 
         for batch in batches:
-            edges = []
             for key, i, j, a, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "a", "alike", "grams"))):
                 if (key, i, j) != place:
-                    edges += pairs() if rows else []
+                    close()
                     place, rows = (key, i, j), {}
                 rows[a] = row
-            yield batch_of(edges)
-        if rows:
-            yield batch_of(pairs())
+            yield found()
+        close()
+        yield found()
 
     return run
 
@@ -271,14 +290,14 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int =
     spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     listed = table(texts.mapInArrow(released(_listed), "print bigint, doc_id bigint, unit int, begin int, end int, words int, grams binary"), "paragraphs")
-    grams = table(listed.where("grams IS NOT NULL").groupBy("print").agg(F.first("grams").alias("grams")), "grams")
-    units = table(listed.drop("grams"), "units")
-    drop(listed)
-    tidy(spark)
+    units = listed.drop("grams")
+    # Each print at least once, and seldom more often than there are tasks.
+    grams = listed.where("grams IS NOT NULL").select("print", "grams")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tied = table(grams.mapInArrow(released(_banded(buckets)), Blocks.SCHEMA).groupBy("bucket").applyInArrow(_stars, "key bigint, a bigint, b bigint"), "ties")
     asked = tied.select(F.col("a").alias("print")).unionByName(tied.select(F.col("b").alias("print"))).distinct()
-    crowd = table(grams.join(asked, "print", "left_semi"), "asked")
+    tidy(spark)
+    crowd = table(grams.join(asked, "print", "left_semi").groupBy("print").agg(F.first("grams").alias("grams")), "asked")
     tried = table(
         tied.select("a", "b")
         .distinct()
