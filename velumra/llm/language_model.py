@@ -52,7 +52,7 @@ def _counted(held: int):
     """(hash of a word, n, n held out, last words, last words held out) of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally, known = [Counter() for _ in range(4)], WordHashes()
+        tally, known = [Counter() for _ in range(4)], WordHashes(100_000)
 
         def rows() -> pa.RecordBatch:
             words = list(set().union(*tally))
@@ -69,7 +69,7 @@ def _counted(held: int):
                 if words:
                     tally[1 if out else 0].update(words)
                     tally[3 if out else 2][words[-1]] += 1
-            if len(tally[0]) + len(tally[1]) > 1_000_000:
+            if sum(map(len, tally)) > 300_000:
                 yield rows()
         yield rows()
 
@@ -80,9 +80,9 @@ def _document_pairs(batches: Iterator[pa.RecordBatch], top: np.ndarray):
     """For some documents at a time, their distinct pairs: hash and number of
     context and of word (``RARE``, ``START`` or 2 and the place in ``top``),
     document, and how often the pair, the context and the word stand in it."""
-    known = WordHashes()
+    known = WordHashes(150_000)
     for whole in batches:
-        for k in range(0, whole.num_rows, 512):
+        for k in range(0, whole.num_rows, 256):
             batch = whole.slice(k, 512)
             h, begin = hashed(batch.column("text").to_pylist(), known)
             if not len(h):
@@ -114,7 +114,7 @@ def _pairs(top, buckets: int):
     are, else by the rare one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, one = Blocks(buckets, COLUMNS, 800_000), Blocks(buckets, ONE_RARE, 400_000)
+        both, one = Blocks(buckets, COLUMNS, 500_000), Blocks(buckets, ONE_RARE, 200_000)
         for uh, u, vh, v, *rest in _document_pairs(batches, top.value):
             frequent = (u != RARE) & (v != RARE)
             yield from _of_kind(PAIRS, both.add(((u << np.uint64(32)) | v)[frequent] * np.uint64(ODD), *(x[frequent] for x in rest)))
@@ -144,7 +144,7 @@ def _packed(kind: int, names: list[str], buckets: int):
     """Blocks of plain rows, by their first column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Blocks(buckets, KINDS[kind], 400_000)
+        blocks = Blocks(buckets, KINDS[kind], 200_000)
         for batch in batches:
             columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
             yield from _of_kind(kind, blocks.add(columns[0].view(np.uint64), *columns[1:]))
