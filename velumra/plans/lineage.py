@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,9 @@ def drop(df: DataFrame) -> None:
 
 def tidy(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of plans that nothing refers to any
-    more; it does so when the driver collects garbage, which may be late."""
-    gc.collect()
-    spark._jvm.System.gc()
+    more; it does so when the driver collects garbage, which may be late, and
+    in the background, so this waits a moment."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.7)
