@@ -83,8 +83,8 @@ def test_odd_rows(spark):
 
 
 def test_a_pair_in_every_document(spark):
-    rows = [(d, f"of the word{d % 7} " + " ".join(f"x{(d * 13 + k) % 50}" for k in range(d % 9))) for d in range(400)]
-    check(brute.documents(spark, rows), rows, 0.02, frequent=3)
+    rows = [(d, f"of the word{d % 7} " + " ".join(f"x{(d * 13 + k) % 50}" for k in range(d % 9))) for d in range(900)]
+    check(brute.documents(spark, rows).coalesce(1), rows, 0.02, frequent=3)
 
 
 def test_learned_weights():
