@@ -1,9 +1,11 @@
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import brute
 import numpy as np
 import pytest
+import zstandard
 
 from velumra.llm import language_model as L
 
@@ -92,3 +94,26 @@ def test_learned_weights():
     l = L.learn(np.array([3, 3]), np.array([90.0, 10.0]), np.array([0.5, 0.0]), np.array([0.001, 0.01]), 1e-5)
     assert l.shape == (L.STEPS, 3) and l[3][0] > 0.8 and l.sum(1) == pytest.approx(1)
     assert L.learn(np.empty(0), np.empty(0), np.empty(0), np.empty(0), 0.1)[5] == pytest.approx(1 / 3)
+
+
+def test_a_bucket_is_opened_in_parts():
+    """A part holds all rows of its pairs, and memory follows the part, not the bucket."""
+    rows, rng = 600_000, np.random.default_rng(1)
+    pair = ((np.uint64(2) + rng.integers(0, 200, rows).astype(np.uint64)) << np.uint64(32)) | (np.uint64(2) + rng.integers(0, 500, rows).astype(np.uint64))
+    pair[: rows // 10] = (np.uint64(2) << np.uint64(32)) | np.uint64(2)  # one pair in many documents
+    ones = np.ones(rows, np.int64)
+    blocks = L.Blocks(1, L.COLUMNS, 100_000, zstandard.ZstdCompressor().compress)
+    packed = [b for k in range(0, rows, 100_000) for b in blocks.add(*(x[k : k + 100_000] for x in (pair * np.uint64(L.ODD), np.arange(rows), ones, ones, ones)))]
+    packed = list(L._of_kind(L.PAIRS, [*packed, *blocks.flush()]))
+    model = {"word": [np.full(600, 7)] * 2, "context": [np.full(600, 9)] * 2, "total": [10, 10]}
+
+    def opened(chunk):
+        tracemalloc.start()
+        found = [(len(doc), len(first), int(doc.sum()), int(sizes.max())) for doc, _, _, _, first, sizes, *_ in L._opened(iter(packed), model, chunk=chunk)]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return [sum(f[k] for f in found) for k in range(3)], max(f[3] for f in found), max(f[0] for f in found), most / 1e6
+
+    (whole, hot, _, much), (parts, hottest, longest, little) = opened(rows), opened(30_000)
+    assert whole == parts and whole[0] == rows and hot == hottest >= rows // 10
+    assert longest < 60_000 + 60_000 and little < 0.6 * much

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import xxhash
@@ -105,8 +106,9 @@ class Blocks:
 
     SCHEMA = "bucket int, n int, payload binary"
 
-    def __init__(self, buckets: int, kinds: list[str], rows: int = 2_000_000):
-        self.buckets, self.kinds, self.rows = buckets, kinds, rows
+    def __init__(self, buckets: int, kinds: list[str], rows: int = 2_000_000, press: Callable[[bytes], bytes] = bytes):
+        """``press`` compresses payloads."""
+        self.buckets, self.kinds, self.rows, self.press = buckets, kinds, rows, press
         self.held: list[tuple[np.ndarray, ...]] = []
         self.count = 0
 
@@ -133,20 +135,24 @@ class Blocks:
         for a, b in zip(edges, ends):
             key = columns[0][a:b]
             gaps = np.diff(key, prepend=key.dtype.type(0))
-            payload.append(b"".join([planes(gaps), *(planes(np.ascontiguousarray(c[a:b])) for c in columns[1:])]))
+            payload.append(self.press(b"".join([planes(gaps), *(planes(np.ascontiguousarray(c[a:b])) for c in columns[1:])])))
         yield pa.RecordBatch.from_arrays(
             [pa.array(bucket[edges]), pa.array((ends - edges).astype(np.int32)), pa.array(payload, pa.binary())], names=["bucket", "n", "payload"]
         )
 
 
+def opened(n: int, raw: bytes, kinds: list[str]) -> list[np.ndarray]:
+    """The columns of one block, in order of the first."""
+    at, out = 0, []
+    for j, kind in enumerate(kinds):
+        size = n * np.dtype(kind).itemsize
+        column = unplanes(raw[at : at + size], kind, n)
+        out.append(np.cumsum(column, dtype=kind) if j == 0 else column)
+        at += size
+    return out
+
+
 def unblock(table, kinds: list[str]) -> list[np.ndarray]:
     """The columns of all blocks of a bucket, in no order."""
-    sizes = [np.dtype(k).itemsize for k in kinds]
-    parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    for n, raw in zip(table.column("n").to_pylist(), table.column("payload").to_pylist()):
-        at = 0
-        for j, (kind, size) in enumerate(zip(kinds, sizes)):
-            column = unplanes(raw[at : at + n * size], kind, n)
-            parts[j].append(np.cumsum(column, dtype=kind) if j == 0 else column)
-            at += n * size
-    return [np.concatenate(p) if p else np.empty(0, k) for p, k in zip(parts, kinds)]
+    parts = [opened(n, raw, kinds) for n, raw in zip(table.column("n").to_pylist(), table.column("payload").to_pylist())]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else [np.empty(0, k) for k in kinds]
