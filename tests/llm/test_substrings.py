@@ -1,5 +1,6 @@
 import itertools
 import random
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 
 from velumra.llm import queries, substrings
 from velumra.llm.words import WordHashes
+from velumra.plans import lineage
 
 SF = "/root/testdata/sf0.001"
 
@@ -203,3 +205,28 @@ def test_odd_rows(spark):
     assert {20, 21, 22} <= got.keys() <= {4, 20, 21, 22} and len(got[21]) == 1 and not got[20][0][4] and got[21][0][4]
     assert substrings.repeated_passages(brute.odd(spark).limit(0)).count() == 0
     assert substrings.repeated_passages(brute.documents(spark, [(1, text), (1, text)])).count() == 0
+
+
+def test_bands_take_room_in_turns(spark, monkeypatch):
+    """The shuffle files of some bands are deleted before the next are written; passages are the same."""
+    places = [Path(x.getPath()) for x in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    room = lambda: sum(p.stat().st_size for place in places for p in place.rglob("shuffle_*.data"))
+    docs, real, said, got = brute.documents(spark, planted(seed=4, many=600)[0]).cache(), substrings.table, [], []
+
+    def table(df, name):
+        before, out = room(), real(df, name)
+        if name == "ties":
+            said[-1].append((before, room()))
+        return out
+
+    monkeypatch.setattr(substrings, "table", table)
+    for rounds in (1, substrings.ROUNDS):
+        monkeypatch.setattr(substrings, "ROUNDS", rounds)
+        lineage.tidy(spark)
+        said.append([])
+        got.append(sorted(map(tuple, substrings.repeated_passages(docs).collect())))
+    (once,), turns = said
+    start = turns[0][0]
+    print(said)
+    assert len(turns) == 2 and max(after - start for _, after in turns) < 0.7 * (once[1] - once[0])
+    assert got[0] and got[0] == got[1]

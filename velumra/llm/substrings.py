@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ LEAST = 8
 LONGEST = 24
 #: Bands of so many minima: a pair of Jaccard 0.7 shares one with probability 0.994.
 SHINGLE, BANDS, ROWS = 2, 12, 3
+#: Bands are shuffled in so many rounds, each of which takes its share of the room.
+ROUNDS = 2
 SIMILAR = 0.7
 #: Repeated paragraphs side by side are one passage; shorter ones don't count.
 PASSAGE = 25
@@ -95,7 +98,8 @@ def _cut(batch: pa.RecordBatch, known: WordHashes):
 def pair_sets(s: np.ndarray, of: np.ndarray, keep: np.ndarray) -> pa.Array:
     """The distinct low 32 bits of hashes ``s`` of each paragraph to ``keep``, in order, as packed bytes; others are null."""
     here = keep[of]
-    both = np.unique((of[here].astype(np.uint64) << np.uint64(32)) | (s[here] & np.uint64(2**32 - 1)))
+    both = np.sort((of[here].astype(np.uint64) << np.uint64(32)) | (s[here] & np.uint64(2**32 - 1)))
+    both = both[np.diff(both, prepend=~both[:1]) != 0]  # np.unique by hashing takes several times as long
     sizes = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(keep))
     ends = np.concatenate([[0], 4 * np.cumsum(sizes)]).astype(np.int32)
     valid = np.packbits(keep, bitorder="little").tobytes()
@@ -121,30 +125,30 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=["print", "doc_id", "unit", "begin", "end", "words", "grams"])
 
 
-def band_keys(grams: list[bytes], bands: int = BANDS, rows: int = ROWS, seed: int = 41) -> np.ndarray:
-    """(sets, bands) hashes of ``rows`` minima, each of its own hash function."""
+def band_keys(grams: list[bytes], bands: int = BANDS, rows: int = ROWS, seed: int = 41, first: int = 0) -> np.ndarray:
+    """(sets, bands) hashes of ``rows`` minima, each of its own hash function; of the bands from ``first`` on."""
     sizes = np.array([len(g) // 4 for g in grams])
     begin = np.concatenate([[0], np.cumsum(sizes[:-1])]).astype(np.int64)
     g = mix(np.frombuffer(b"".join(grams), "<u4").astype(np.uint64))
     rng = np.random.default_rng(seed)
-    out = np.zeros((len(grams), bands), np.uint64)
-    for b in range(bands):
+    seeds = rng.integers(0, 2**63, (bands, rows, 2)).astype(np.uint64)
+    out = np.zeros((len(grams), bands - first), np.uint64)
+    for b in range(first, bands):
         key = np.full(len(grams), b + 1, np.uint64)
-        for _ in range(rows):
-            odd, more = (np.uint64(x) for x in rng.integers(0, 2**63, 2))
+        for odd, more in seeds[b]:
             least = np.minimum.reduceat((g * (odd * np.uint64(2) + np.uint64(1)) + more) >> np.uint64(24), begin)
             key = key * np.uint64(0x9E3779B97F4A7C15) + mix(least)
         # 48 bits are enough to tell buckets apart, and take less room in a block.
-        out[:, b] = mix(key) & ~np.uint64(0xFFFF)
+        out[:, b - first] = mix(key) & ~np.uint64(0xFFFF)
     return out
 
 
-def _banded(buckets: int):
+def _banded(buckets: int, first: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(buckets, ["<u8", "<u8"], 800_000)
         for whole in batches:
             if whole.num_rows:
-                key = band_keys(whole.column("grams").to_pylist())
+                key = band_keys(whole.column("grams").to_pylist(), end, first=first)
                 prints = whole.column("print").to_numpy(zero_copy_only=False).view(np.uint64)
                 yield from blocks.add(key.reshape(-1), np.repeat(prints, key.shape[1]))
         yield from blocks.flush()
@@ -282,8 +286,8 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int =
     stands earlier too, in (doc_id, place), so one copy of each paragraph
     stays. ``first_doc_id`` is the least document in which any of it stands.
 
-    Each text is cut once. Bands move as packed blocks, of which a bucket holds
-    about one part in four times the shuffle partitions. Defined results: null,
+    Each text is cut once. Bands move as packed blocks, in ``ROUNDS`` rounds, of
+    which a bucket holds about one part in four times the shuffle partitions. Defined results: null,
     empty and wordless texts have no passage; rows with a null doc_id are left
     out; rows that repeat a doc_id are one document; an empty table gives none;
     other columns are ignored. Places count characters of the whole text."""
@@ -294,9 +298,14 @@ def repeated_passages(docs: DataFrame, similar: float = SIMILAR, passage: int =
     # Each print at least once, and seldom more often than there are tasks.
     grams = listed.where("grams IS NOT NULL").select("print", "grams")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tied = table(grams.mapInArrow(released(_banded(buckets)), Blocks.SCHEMA).groupBy("bucket").applyInArrow(_stars, "key bigint, a bigint, b bigint"), "ties")
+    rounds, edges = [], [BANDS * k // ROUNDS for k in range(ROUNDS + 1)]
+    for first, end in pairwise(edges):
+        banded = grams.mapInArrow(released(_banded(buckets, first, end)), Blocks.SCHEMA).groupBy("bucket")
+        rounds.append(table(banded.applyInArrow(_stars, "key bigint, a bigint, b bigint"), "ties"))
+        del banded
+        tidy(spark)
+    tied = reduce(DataFrame.unionByName, rounds)
     asked = tied.select(F.col("a").alias("print")).unionByName(tied.select(F.col("b").alias("print"))).distinct()
-    tidy(spark)
     crowd = table(grams.join(asked, "print", "left_semi").groupBy("print").agg(F.first("grams").alias("grams")), "asked")
     tried = table(
         tied.select("a", "b")
