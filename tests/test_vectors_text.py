@@ -2,11 +2,14 @@ import math
 
 import numpy as np
 import pytest
+from against import differences
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from velumra.functions import vectors as V
+from velumra.functions.numbers import rounded
 from velumra.operators import knn, text
+from velumra.plans import queries
 
 
 def value(spark, column):
@@ -38,6 +41,20 @@ def test_cosine_and_normalize(spark):
     assert value(spark, V.normalize(arr(0, 1e-9))) == [0, 1e-9]
 
 
+def test_rounding_as_sql(spark, tmp_path):
+    """Values that become zero keep their sign; halves and infinity."""
+    rows = [(0, [1.0, -1e-8, 1e-8, 0.0, -0.0]), (1, [-3e-7, 0.5, 0.25, -5e-7, 0.1]), (2, [0.0, -0.0, -1e-9, 0.0, 0.0])]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "raw"))
+    next((tmp_path / "raw").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    for name in ("vec_normalize", "vec_dot", "relu", "tanh", "tensor_decay"):
+        assert differences(queries.QUERIES[name](spark, str(tmp_path)), queries.ORACLES[name], str(tmp_path)) == "", name
+    xs = [0.1234565, -0.1234565, 1e305, float("inf"), -0.0, -4.9e-7, 5e-7, 2.5e-6, 123456.0000005]
+    spark.createDataFrame([(k, x) for k, x in enumerate(xs)], "k int, x double").coalesce(1).write.parquet(str(tmp_path / "more"))
+    next((tmp_path / "more").glob("*.parquet")).rename(tmp_path / "numbers.parquet")
+    numbers = spark.read.parquet(str(tmp_path / "numbers.parquet")).select("k", rounded("x").alias("x"))
+    assert differences(numbers, "SELECT k, round(x, 6) AS x FROM numbers", str(tmp_path)) == ""
+
+
 def test_digest(spark):
     import hashlib
 

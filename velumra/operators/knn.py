@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
+
 #: Vectors packed into one row of a block.
 BLOCK = 1024
 
@@ -68,4 +70,4 @@ def nearest(points: DataFrame, queries: DataFrame, k: int, id_: str = "vec_id",
     pairs = _packed(queries, id_, vector, "query").crossJoin(_packed(points, id_, vector, "point"))
     order = Window.partitionBy("query_id").orderBy("distance", "point_id")
     best = pairs.mapInArrow(_nearest(k), schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", "point_id", F.round("distance", 6).alias("distance"))
+    return best.select("query_id", "rank", "point_id", rounded("distance").alias("distance"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numbers import rounded
 from ..plans.lineage import table
 from ..plans.prefix import prefix_sum
 
@@ -71,7 +72,7 @@ def top_words(docs: DataFrame, count: int) -> DataFrame:
     """(doc_id, rank, word, weight): the ``count`` heaviest words of each
     document over ``FAINT``. Weights are rounded to six places before they are
     compared; ties go by word."""
-    heavy = tfidf(docs).select("doc_id", "word", F.round("weight", 6).alias("weight")).where(F.col("weight") > FAINT)
+    heavy = tfidf(docs).select("doc_id", "word", rounded("weight").alias("weight")).where(F.col("weight") > FAINT)
     order = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "word")
     return heavy.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= count).select("doc_id", "rank", "word", "weight")
 
@@ -127,5 +128,5 @@ def similar_documents(docs: DataFrame, least: float, asked: Column | None = None
     pairs = pairs.where(F.col("part") + F.sqrt(F.greatest("front", F.lit(0.0))) >= least - 1e-6).select("doc_a", "doc_b")
     left = unit.select(F.col("doc_id").alias("doc_a"), "word", F.col("w").alias("wa"))
     right = unit.select(F.col("doc_id").alias("doc_b"), "word", F.col("w").alias("wb"))
-    found = pairs.join(left, "doc_a").join(right, ["doc_b", "word"]).groupBy("doc_a", "doc_b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cosine"))
+    found = pairs.join(left, "doc_a").join(right, ["doc_b", "word"]).groupBy("doc_a", "doc_b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).withColumn("cosine", rounded("cosine"))
     return found.where(F.col("cosine") >= least)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vectors
+from ..functions.numbers import rounded
 from ..operators import centrality as scores
 from ..operators import graph, knn, neural, paths, tensor, text
 from ..sources import snapshot
@@ -38,7 +39,7 @@ def _next_to(spark: SparkSession, sf_dir: str, name: str, f) -> DataFrame:
     """Each vector and the one whose vec_id follows."""
     e = _embeddings(spark, sf_dir).select("vec_id", "embedding")
     after = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
-    return e.join(after, "vec_id").select("vec_id", F.round(f(F.col("embedding"), F.col("other")), 6).alias(name))
+    return e.join(after, "vec_id").select("vec_id", f(F.col("embedding"), F.col("other")).alias(name)).withColumn(name, rounded(name))
 
 
 @query
@@ -58,7 +59,7 @@ def vec_cosine(spark, sf_dir):
 
 @query
 def vec_normalize(spark, sf_dir):
-    return _embeddings(spark, sf_dir).select("vec_id", F.transform(vectors.normalize(F.col("embedding")), lambda x: F.round(x, 6)).alias("unit"))
+    return _embeddings(spark, sf_dir).select("vec_id", F.transform(vectors.normalize(F.col("embedding")), rounded).alias("unit"))
 
 
 @query
@@ -86,12 +87,12 @@ def vocab_first_seen(spark, sf_dir):
 
 @query
 def idf_weights(spark, sf_dir):
-    return text.idf(_documents(spark, sf_dir)).withColumn("idf", F.round("idf", 6))
+    return text.idf(_documents(spark, sf_dir)).withColumn("idf", rounded("idf"))
 
 
 @query
 def tfidf(spark, sf_dir):
-    return text.tfidf(_documents(spark, sf_dir)).withColumn("weight", F.round("weight", 6))
+    return text.tfidf(_documents(spark, sf_dir)).withColumn("weight", rounded("weight"))
 
 
 @query
@@ -111,7 +112,7 @@ def doc_cosine(spark, sf_dir):
 
 
 def _edges(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst", F.round("weight", 6).alias("weight"), "last_modified", F.col("type").cast("int").alias("type"))
+    return edges.select("src", "dst", rounded("weight").alias("weight"), "last_modified", F.col("type").cast("int").alias("type"))
 
 
 @query
@@ -245,7 +246,7 @@ def graph_jaccard(spark, sf_dir):
     """Of suppliers, by the parts that they deliver."""
     compiled = _supply(spark, sf_dir)
     suppliers = compiled.node_index.where(F.col("id").startswith("s")).select(F.col("idx").alias("src_idx"))
-    return graph.jaccard(compiled.edges.join(suppliers, "src_idx", "left_semi")).withColumn("similarity", F.round("similarity", 6))
+    return graph.jaccard(compiled.edges.join(suppliers, "src_idx", "left_semi")).withColumn("similarity", rounded("similarity"))
 
 
 @query
@@ -294,7 +295,7 @@ def cycle_check(spark, sf_dir):
 
 @query
 def centrality_k5(spark, sf_dir):
-    return scores.centrality(_supply(spark, sf_dir), 5, 0.0).withColumn("centrality", F.round("centrality", 6))
+    return scores.centrality(_supply(spark, sf_dir), 5, 0.0).withColumn("centrality", rounded("centrality"))
 
 
 @query
@@ -329,7 +330,7 @@ def _bias(spark: SparkSession) -> tensor.Matrix:
 
 
 def _rounded(m: tensor.Matrix) -> DataFrame:
-    return m.cells.withColumn("v", F.round("v", 6))
+    return m.cells.withColumn("v", rounded("v"))
 
 
 @query
