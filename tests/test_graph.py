@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from velumra.operators import centrality as C
 from velumra.operators import graph as G
@@ -182,6 +183,37 @@ def test_topology_hash(spark):
     assert g.topology_hash() == want != h.topology_hash()
 
 
+def test_topology_hash_of_many_parts_sends_little_to_the_driver(spark):
+    """Nothing but the digest is collected, and parts are hashed in order."""
+    pairs = spark.range(30_000).select((F.col("id") % 300).alias("src_idx"), (F.col("id") * 7 % 3001).alias("dst_idx")).distinct()
+    edges = pairs.select("src_idx", "dst_idx", (F.col("src_idx") + F.col("dst_idx") / 8).alias("weight"), F.lit(0).cast("long").alias("last_modified"), F.lit(0).cast("tinyint").alias("type"))
+    g = G.Compiled(spark.range(3001).select(F.col("id").alias("idx"), F.col("id").cast("string").alias("id")), edges)
+    e = edges.orderBy("src_idx", "dst_idx").toPandas()
+    ends = np.concatenate([[0], np.cumsum(np.bincount(e.src_idx, minlength=3001))]).astype("<i4")
+    want = hashlib.sha256(ends.tobytes() + e.dst_idx.to_numpy().astype("<i4").tobytes() + e.weight.to_numpy().astype("<f4").tobytes()).digest()
+    asked = []
+    whole, DataFrame.toLocalIterator = DataFrame.toLocalIterator, lambda self, *a: asked.append(self) or whole(self, *a)
+    try:
+        assert g.topology_hash() == want and not asked
+    finally:
+        DataFrame.toLocalIterator = whole
+
+
+def test_compiled_from_the_log_is_the_same(spark):
+    """Both types on one pair, in both orders and cases, loops, nulls, many tasks."""
+    rows = [("A", "b", 1, 5, A), ("B", "a", 2, 9, A), ("a", "B", 4, 7, ST), ("b", "A", 8, 1, ST), ("c", "C", 3, 2, A), ("d", "a", 5, 0, ST), ("z", "d", 1, 3, A), ("D", "Z", 6, 4, A)]
+    given = log(spark, *rows).unionByName(spark.createDataFrame([("a", None, 1.0, 1, A), ("q", "a", None, None, A)], "`from` string, `to` string, delta double, ts bigint, type int"))
+    folded = G.accumulate(given)
+    want = G.compile_graph(folded.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), folded)
+    got = G.compile_log(given, 2)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(got.node_index) == rows(want.node_index) == rows(G.index_log(given)) and rows(got.edges) == rows(want.edges)
+    assert G.compile_log(given.where("false")).edges.count() == 0
+    # More rows make more tasks, each with no more of them.
+    many = log(spark, *((f"s{k % 40}", f"p{k}", 1, 0, A) for k in range(400)))
+    assert G.compile_log(many, 20).edges.select(F.spark_partition_id()).distinct().count() > 10
+
+
 def test_snapshots(spark, tmp_path):
     g = compiled(spark, ["User_1", "User_2", "Ün" + "x" * 200], ("User_1", "User_2", 0.75, A), ("User_2", "Ün" + "x" * 200, 2, ST))
     S.save(g, str(tmp_path / "tables"))

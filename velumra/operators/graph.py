@@ -9,21 +9,25 @@ if they are equal in lower case.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import table
+from ..plans.lineage import drop, table
 from ..plans.prefix import prefix_sum
 
 ASSOCIATIVE, STRUCTURAL = 0, 1
 DAY = 86400.0
 #: Decay factors under this are zero.
 GONE = 1e-7
+#: Rows of a log that one task folds: more rows make more tasks, not larger ones.
+FOLD_ROWS = 1 << 18
 
 
 def key(id_: Column) -> Column:
@@ -47,7 +51,7 @@ def accumulate(log: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     The fold is a sum and two maxima, so Spark combines before the shuffle and
     order doesn't matter."""
-    rows = log.select(key(F.col("from")).alias("src"), key(F.col("to")).alias("dst"), F.col("delta").cast("double").alias("delta"), F.col("ts").cast("long").alias("ts"), F.col("type").cast("tinyint").alias("type"))
+    rows = _log_rows(log)
     if nodes is not None:
         known = nodes.select(key(F.col("id")).alias("_id")).distinct()
         for side, name in (("src", "source"), ("dst", "target")):
@@ -55,9 +59,22 @@ def accumulate(log: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
                 side, F.when(F.col("_id").isNull(), F.raise_error(F.concat(F.lit(f"{name} node is missing: "), F.col(side))).cast("string")).otherwise(F.col(side))
             )
             rows = rows.drop("_id")
-    both = F.when((F.col("type") == ASSOCIATIVE) & (F.col("src") != F.col("dst")), F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-    directed = rows.withColumn("_way", F.explode(both.otherwise(F.array(F.struct("src", "dst"))))).select("_way.src", "_way.dst", "delta", "ts", "type")
-    return directed.groupBy("src", "dst").agg(F.sum("delta").alias("weight"), F.max("ts").alias("last_modified"), F.max("type").alias("type"))
+    return _folded(_ways(rows, "src", "dst"), "src", "dst")
+
+
+def _log_rows(log: DataFrame) -> DataFrame:
+    return log.select(key(F.col("from")).alias("src"), key(F.col("to")).alias("dst"), F.col("delta").cast("double").alias("delta"), F.col("ts").cast("long").alias("ts"), F.col("type").cast("tinyint").alias("type"))
+
+
+def _ways(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """Rows with ends ``a`` and ``b``; associative ones both ways, a loop once."""
+    there, back = F.struct(F.col(a), F.col(b)), F.struct(F.col(b).alias(a), F.col(a).alias(b))
+    both = F.when((F.col("type") == ASSOCIATIVE) & (F.col(a) != F.col(b)), F.array(there, back)).otherwise(F.array(there))
+    return rows.withColumn("_way", F.explode(both)).withColumns({a: F.col(f"_way.{a}"), b: F.col(f"_way.{b}")}).drop("_way")
+
+
+def _folded(directed: DataFrame, *keys: str) -> DataFrame:
+    return directed.groupBy(*keys).agg(F.sum("delta").alias("weight"), F.max("ts").alias("last_modified"), F.max("type").alias("type"))
 
 
 def add_edges(log: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -130,6 +147,10 @@ class Compiled:
     node_index: DataFrame
     edges: DataFrame
 
+    def written(self) -> Compiled:
+        """With its edges in a table, for whoever reads them more than once."""
+        return Compiled(self.node_index, table(self.edges, "compiled"))
+
     def row_ptr(self) -> DataFrame:
         """(idx, row_start, row_end) of each node's edges in order."""
         degree = self.edges.groupBy(F.col("src_idx").alias("idx")).agg(F.count("*").alias("degree"))
@@ -153,7 +174,7 @@ class Compiled:
 
     def weights(self) -> DataFrame:
         """The weights as a 1 x E matrix (i, j, v), in order of edges."""
-        numbered = prefix_sum(self.edges.withColumn("_one", F.lit(1).cast("long")), [F.col("src_idx"), F.col("dst_idx")], "_one", "j")
+        numbered = prefix_sum(self.edges.select("src_idx", "dst_idx", "weight", F.lit(1).cast("long").alias("_one")), [F.col("src_idx"), F.col("dst_idx")], "_one", "j")
         return numbered.select(F.lit(0).cast("long").alias("i"), "j", F.col("weight").alias("v"))
 
     def with_weights(self, weights: DataFrame) -> Compiled:
@@ -165,15 +186,47 @@ class Compiled:
     def topology_hash(self) -> bytes:
         """SHA-256 of row starts, targets and weights as little-endian int32,
         int32 and float32. Both tables are sorted once and packed by the
-        executors; only bytes stream through the driver, a part at a time."""
-        digest = hashlib.sha256()
-        digest.update(np.zeros(1, "<i4").tobytes())
-        ends = _packed(self.row_ptr().select("idx", "row_end"), ["idx"], {"row_end": "<i4"})
-        edges = _packed(self.edges.select("src_idx", "dst_idx", "weight"), ["src_idx", "dst_idx"], {"dst_idx": "<i4", "weight": "<f4"})
-        for packed, column in ((ends, "row_end"), (edges, "dst_idx"), (edges, "weight")):
-            for row in packed.orderBy("part", "at").select(column).toLocalIterator():
-                digest.update(row[column])
-        return digest.digest()
+        executors; one task reads the packed files one after another, a batch
+        at a time, and only the digest comes to the driver."""
+        spark = self.edges.sparkSession
+        own = self.written()
+        ends = _packed(own.row_ptr().select("idx", "row_end"), ["idx"], {"row_end": "<i4"})
+        edges = _packed(own.edges.select("src_idx", "dst_idx", "weight"), ["src_idx", "dst_idx"], {"dst_idx": "<i4", "weight": "<f4"})
+        files = [(column, path) for packed, column in ((ends, "row_end"), (edges, "dst_idx"), (edges, "weight")) for path in _files(packed)]
+        found = spark.createDataFrame([(0,)], "n int").coalesce(1).mapInArrow(_hashing(files), "digest binary").collect()
+        for packed in (ends, edges, own.edges):
+            drop(packed)
+        (row,) = found
+        return bytes(row.digest)
+
+
+def _files(packed: DataFrame) -> list[str]:
+    """The files of a packed table, in order of its parts; each part is one file."""
+    rows = packed.select("part", F.input_file_name().alias("path")).distinct().collect()
+    if len({r.part for r in rows}) < len(rows):
+        raise ValueError("a part of the packed table has more than one file")
+    return [r.path for r in sorted(rows, key=lambda r: r.part)]
+
+
+def _hashing(files: list[tuple[str, str]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One digest of an int32 zero and of the packed bytes of (column, file)
+    after file, for each row that comes in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in (row for batch in batches for row in range(batch.num_rows)):
+            digest = hashlib.sha256(np.zeros(1, "<i4").tobytes())
+            for column, file in files:
+                system, path = fs.FileSystem.from_uri(file)
+                with system.open_input_file(path) as raw:
+                    at = 0
+                    for part in pq.ParquetFile(raw).iter_batches(1, columns=["at", column]):
+                        if part.column("at")[0].as_py() != at:
+                            raise ValueError(f"the packed rows of {file} are out of order")
+                        digest.update(part.column(column)[0].as_buffer())
+                        at += 1
+            yield pa.RecordBatch.from_arrays([pa.array([digest.digest()], pa.binary())], names=["digest"])
+
+    return run
 
 
 def _packed(df: DataFrame, order: list[str], kinds: dict[str, str]) -> DataFrame:
@@ -201,6 +254,30 @@ def compile_graph(nodes: DataFrame, edges: DataFrame) -> Compiled:
     return Compiled(index.select("idx", "id"), found.select("src_idx", "dst_idx", "weight", "last_modified", "type"))
 
 
+def index_log(log: DataFrame) -> DataFrame:
+    """(idx, id) of the graph that ``log`` folds into: its ends, without folding it."""
+    rows = _log_rows(log)
+    ids = rows.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return _indexed(ids, [F.col("id")], "idx").select("idx", "id")
+
+
+def compile_log(log: DataFrame, fold_rows: int = FOLD_ROWS) -> Compiled:
+    """``compile_graph`` of ``accumulate(log)`` and its ends.
+
+    Ids are turned into indices before anything is folded, so a row of the log
+    is shuffled three times: by either id and by its pair of indices. Both ways
+    of a pair meet in one task, where they are told apart, and a task gets
+    ``fold_rows`` rows on average, however many there are in all."""
+    index = index_log(log)
+    a, b = (index.select(F.col("id").alias(f"_k_{s}"), F.col("idx").alias(f"{s}_idx")) for s in ("src", "dst"))
+    placed = _log_rows(log).join(a, F.col("src") == F.col("_k_src")).join(b, F.col("dst") == F.col("_k_dst"))
+    pair = F.least("src_idx", "dst_idx").alias("_lo"), F.greatest("src_idx", "dst_idx").alias("_hi")
+    parts = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-log.count() // fold_rows))
+    together = placed.select(*pair, "src_idx", "dst_idx", "delta", "ts", "type").repartition(parts, "_lo", "_hi")
+    edges = _folded(_ways(together, "src_idx", "dst_idx"), "_lo", "_hi", "src_idx", "dst_idx")
+    return Compiled(index, edges.select("src_idx", "dst_idx", "weight", "last_modified", "type"))
+
+
 def jaccard(edges: DataFrame, u: str = "src_idx", v: str = "dst_idx") -> DataFrame:
     """(u, v, similarity) of all pairs u < v that share an out-neighbour; all
     other pairs, and those without neighbours, have 0. Types and weights don't

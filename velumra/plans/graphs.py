@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import ASSOCIATIVE, STRUCTURAL, Compiled, accumulate, compile_graph
+from ..operators.graph import ASSOCIATIVE, STRUCTURAL, accumulate
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,18 +48,10 @@ def ends(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
 
 
-def compiled(edges: DataFrame) -> Compiled:
-    return compile_graph(ends(edges), edges)
-
-
 def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accumulate(hierarchy_log(spark, sf_dir))
 
 
-def supply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All edges between suppliers and the parts that they delivered."""
-    return accumulate(supply_log(spark, sf_dir))
-
-
-def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(spark, sf_dir).unionByName(supply(spark, sf_dir))
+def mixed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hierarchy and all line items; no edge is in both."""
+    return hierarchy_log(spark, sf_dir).unionByName(supply_log(spark, sf_dir))

@@ -183,7 +183,7 @@ def graph_neighbours(spark, sf_dir):
 
 @query
 def graph_node_project(spark, sf_dir):
-    nodes = graphs.ends(graphs.mixed(spark, sf_dir))
+    nodes = graph.index_log(graphs.mixed_log(spark, sf_dir))
     return graph.project(nodes, F.col("id"), F.upper(F.substring("id", 1, 1)).alias("kind"), F.length("id").alias("width"))
 
 
@@ -195,15 +195,15 @@ def graph_decay_edges(spark, sf_dir):
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> graph.Compiled:
-    return graphs.compiled(graphs.mixed(spark, sf_dir))
+    return graph.compile_log(graphs.mixed_log(spark, sf_dir))
 
 
 def _supply(spark: SparkSession, sf_dir: str) -> graph.Compiled:
-    return graphs.compiled(graphs.supply(spark, sf_dir))
+    return graph.compile_log(graphs.supply_log(spark, sf_dir))
 
 
 def _hierarchy(spark: SparkSession, sf_dir: str) -> graph.Compiled:
-    return graphs.compiled(graphs.hierarchy(spark, sf_dir))
+    return graph.compile_log(graphs.hierarchy_log(spark, sf_dir))
 
 
 def _indexed(edges: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _indexed(edges: DataFrame) -> DataFrame:
 
 @query
 def graph_compile_nodes(spark, sf_dir):
-    return _mixed(spark, sf_dir).node_index
+    return graph.index_log(graphs.mixed_log(spark, sf_dir))
 
 
 @query
