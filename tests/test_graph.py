@@ -8,6 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 from pyspark.sql.classic.dataframe import DataFrame
 
+from velumra.operators import blocks as B
 from velumra.operators import centrality as C
 from velumra.operators import graph as G
 from velumra.operators import paths as P
@@ -177,6 +178,31 @@ def test_centrality_by_joins_is_the_same(spark):
     assert one == pytest.approx(two)
 
 
+def test_huge_islands_against_numpy(spark, monkeypatch):
+    """Blocks of a few edges, a hub over many slices, sources without a way in,
+    two huge islands, and a two-sided graph that swings until the last round:
+    in far fewer jobs than rounds."""
+    monkeypatch.setattr(B, "SLICE_EDGES", 7)
+    rng = np.random.default_rng(8)
+    pairs = {(int(a), 20 + int(b)) for a, b in rng.integers(0, 20, (150, 2))} | {(0, 20 + k) for k in range(20)}
+    pairs = pairs | {(b, a) for a, b in pairs} | {(40, k) for k in (41, 42, 43)} | {(41, 42), (42, 43), (43, 42), (42, 41)}
+    weight = {p: 20 + float(w) for p, w in zip(sorted(pairs), rng.random(len(pairs)))}
+    nodes_ = spark.createDataFrame([(k, 0 if k < 40 else 40) for k in range(44)], "idx bigint, island bigint")
+    edges_ = spark.createDataFrame([(0 if a < 40 else 40, a, b, w) for (a, b), w in weight.items()], "island bigint, src_idx bigint, dst_idx bigint, weight double")
+    made, whole = [], B._made
+    monkeypatch.setattr(B, "_made", lambda *a: made.append(a) or whole(*a))
+    for rounds in (0, 1, 2, 7, 99, 100):
+        want = {}
+        for ids in (range(40), range(40, 44)):
+            own = [(a - ids[0], b - ids[0], w) for (a, b), w in weight.items() if a in ids]
+            a, b, w = map(np.array, zip(*own))
+            want |= dict(zip(ids, C.island_scores(len(ids), a, b, w, rounds)))
+        made.clear()
+        got = {r.idx: r.centrality for r in B.huge_scores(nodes_, edges_, rounds, C.EPSILON, 16).collect()}
+        assert got == pytest.approx(want, rel=1e-9) and len(got) == 44, rounds
+    assert len(made) < 60  # of the last hundred rounds
+
+
 def test_topology_hash(spark):
     g, h = (compiled(spark, "AB", ("A", "B", w, A)) for w in (1, 1.0001))
     want = hashlib.sha256(np.array([0, 1, 2, 1, 0], "<i4").tobytes() + np.ones(2, "<f4").tobytes()).digest()

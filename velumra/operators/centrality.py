@@ -10,17 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.lineage import drop, table
+from .blocks import huge_scores
 from .graph import Compiled
-from .paths import directed_components
+from .paths import components, directed_components
+from .scores import DAMPING, EPSILON, ROUNDS, SCORES
 
-DAMPING = 0.85
-ROUNDS = 100
-EPSILON = 1e-7
-#: Islands with more edges are computed by joins, all others each in one task.
+#: Islands with more edges are computed block by block, all others each in one task.
 ISLAND_EDGES = 5_000_000
 
-SCORES = "idx bigint, centrality double"
-
 
 def island_scores(n: int, src: np.ndarray, dst: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS, epsilon: float = EPSILON) -> np.ndarray:
     """Scores of the nodes 0 .. n - 1 of one island, a vector of unit length."""
@@ -48,27 +45,6 @@ def _solved(rounds: int, epsilon: float) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def _joined(nodes: DataFrame, edges: DataFrame, rounds: int, epsilon: float) -> DataFrame:
-    """The same iteration as joins, for islands (idx, island) that fit no task."""
-    sizes = nodes.groupBy("island").agg(F.count("*").alias("n"))
-    now = table(nodes.join(sizes, "island").select("idx", "island", "n", (1 / F.sqrt("n")).alias("x"), F.lit(True).alias("open")), "scores")
-    for _ in range(rounds):
-        if now.where("open").isEmpty():
-            break
-        pulled = edges.join(now.where("open").select(F.col("idx").alias("src_idx"), "x"), "src_idx").groupBy(F.col("dst_idx").alias("idx")).agg(F.sum(F.col("weight") * F.col("x")).alias("pull"))
-        raw = now.join(pulled, "idx", "left").withColumn("y", F.when(F.col("open"), DAMPING * F.coalesce("pull", F.lit(0.0)) + (1 - DAMPING) / F.col("n")).otherwise(F.col("x"))).drop("pull")
-        raw = table(raw, "raw")
-        lengths = raw.groupBy("island").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("length"))
-        scaled = raw.join(lengths, "island").withColumn("y", F.when(F.col("open") & (F.col("length") > 0), F.col("y") / F.col("length")).otherwise(F.col("y")))
-        scaled = table(scaled.drop("length"), "scaled")
-        moved = scaled.groupBy("island").agg(F.sum(F.abs(F.col("y") - F.col("x"))).alias("moved"))
-        then = table(scaled.join(moved, "island").select("idx", "island", "n", F.col("y").alias("x"), (F.col("open") & (F.col("moved") >= epsilon)).alias("open")), "scores")
-        for old in (now, raw, scaled):
-            drop(old)
-        now = then
-    return now.select("idx", F.col("x").alias("centrality"))
-
-
 def centrality(compiled: Compiled, rounds: int = ROUNDS, epsilon: float = EPSILON, island_edges: int = ISLAND_EDGES) -> DataFrame:
     """(idx, centrality) of every node.
 
@@ -78,15 +54,27 @@ def centrality(compiled: Compiled, rounds: int = ROUNDS, epsilon: float = EPSILO
     or ``rounds`` have passed. Edges between islands don't count. Weights
     aren't divided by the degree, so this is no PageRank; on two-sided graphs
     the scores may swing until the last round."""
-    islands = table(directed_components(compiled).withColumnRenamed("component", "island"), "islands")
-    a, b = (islands.select(F.col("idx").alias(f"{s}_idx"), F.col("island").alias(n)) for s, n in (("src", "island"), ("dst", "_to")))
-    inner = table(compiled.edges.join(a, "src_idx").join(b, "dst_idx").where("island = _to").select("island", "src_idx", "dst_idx", F.col("weight").cast("double").alias("weight")), "inner")
+    own = compiled.written()
+    # Where all edges run both ways these are the same, in fewer rounds.
+    found = components(own) if own.two_way else directed_components(own)
+    islands = table(found.withColumnRenamed("component", "island"), "islands")
+    edges = own.edges.select("src_idx", "dst_idx", F.col("weight").cast("double").alias("weight"))
+    names = islands.select("island").distinct().limit(2).collect()
+    if len(names) == 1:
+        inner = edges.withColumn("island", F.lit(names[0].island))
+    else:
+        a, b = (islands.select(F.col("idx").alias(f"{s}_idx"), F.col("island").alias(n)) for s, n in (("src", "island"), ("dst", "_to")))
+        inner = edges.join(a, "src_idx")
+        inner = inner if own.two_way else inner.join(b, "dst_idx").where("island = _to")
+        inner = table(inner.select("island", "src_idx", "dst_idx", "weight"), "inner")
     size = inner.groupBy("island").agg(F.count("*").alias("n_edges")).where(F.col("n_edges") > island_edges).select("island")
     huge = table(size, "huge")
+    if len(names) != 1:
+        drop(own.edges)
     rows = islands.select("island", F.col("idx").alias("src"), F.lit(-1).cast("long").alias("dst"), F.lit(0.0).alias("weight")).unionByName(
         inner.select("island", F.col("src_idx").alias("src"), F.col("dst_idx").alias("dst"), "weight")
     )
     if huge.isEmpty():
         return rows.groupBy("island").applyInArrow(_solved(rounds, epsilon), SCORES)
     small = rows.join(huge, "island", "left_anti").groupBy("island").applyInArrow(_solved(rounds, epsilon), SCORES)
-    return small.unionByName(_joined(islands.join(huge, "island", "left_semi"), inner.join(huge, "island", "left_semi"), rounds, epsilon))
+    return small.unionByName(huge_scores(islands.join(huge, "island", "left_semi"), inner.join(huge, "island", "left_semi"), rounds, epsilon))

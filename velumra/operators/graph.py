@@ -142,14 +142,16 @@ def decay_edges(edges: DataFrame, rate: float, now: int) -> DataFrame:
 
 @dataclass
 class Compiled:
-    """node_index (idx, id) and edges (src_idx, dst_idx, weight, last_modified, type)."""
+    """node_index (idx, id) and edges (src_idx, dst_idx, weight, last_modified,
+    type). ``two_way`` may only be true if every edge has one that runs back."""
 
     node_index: DataFrame
     edges: DataFrame
+    two_way: bool = False
 
     def written(self) -> Compiled:
         """With its edges in a table, for whoever reads them more than once."""
-        return Compiled(self.node_index, table(self.edges, "compiled"))
+        return Compiled(self.node_index, table(self.edges, "compiled"), self.two_way)
 
     def row_ptr(self) -> DataFrame:
         """(idx, row_start, row_end) of each node's edges in order."""
@@ -275,7 +277,8 @@ def compile_log(log: DataFrame, fold_rows: int = FOLD_ROWS) -> Compiled:
     parts = max(int(log.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-log.count() // fold_rows))
     together = placed.select(*pair, "src_idx", "dst_idx", "delta", "ts", "type").repartition(parts, "_lo", "_hi")
     edges = _folded(_ways(together, "src_idx", "dst_idx"), "_lo", "_hi", "src_idx", "dst_idx")
-    return Compiled(index, edges.select("src_idx", "dst_idx", "weight", "last_modified", "type"))
+    two_way = log.where(~F.col("type").eqNullSafe(ASSOCIATIVE)).isEmpty()
+    return Compiled(index, edges.select("src_idx", "dst_idx", "weight", "last_modified", "type"), two_way)
 
 
 def jaccard(edges: DataFrame, u: str = "src_idx", v: str = "dst_idx") -> DataFrame:

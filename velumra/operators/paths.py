@@ -20,6 +20,8 @@ def components(compiled: Compiled, keep: Column | None = None) -> DataFrame:
     without edges is one of its own. Edges for which ``keep`` isn't true are
     ignored."""
     edges = compiled.edges if keep is None else compiled.edges.where(keep)
+    if compiled.two_way and keep is None:
+        edges = edges.where("src_idx > dst_idx")
     tied = weak_components(edges.select("src_idx", "dst_idx"), "src_idx", "dst_idx")
     found = compiled.node_index.select("idx").join(tied, F.col("idx") == F.col("node"), "left")
     return found.select("idx", F.coalesce("component", "idx").alias("component"))
@@ -30,9 +32,13 @@ def directed_components(compiled: Compiled, keep: Column | None = None) -> DataF
     along edges for which ``keep`` is true. On edges that run both ways these
     are the weak components. Rounds grow with the longest of the shortest paths."""
     edges = compiled.edges if keep is None else compiled.edges.where(keep)
-    hops = table(edges.where("src_idx != dst_idx").select("src_idx", F.col("dst_idx").alias("to")).distinct(), "hops")
-    start = compiled.node_index.select(F.col("idx").alias("node"), F.col("idx").alias("value"))
-    found = least_values(start, lambda fell: fell.join(hops, fell.node == hops.src_idx).select(F.col("to").alias("node"), "value"))
+    hops = table(edges.where("src_idx != dst_idx").select("src_idx", F.col("dst_idx").alias("to")), "hops")
+    own = compiled.node_index.select(F.col("idx").alias("node"), F.col("idx").alias("value"))
+    # Of the first round: every node's index has gone along its edges.
+    met = hops.select(F.col("to").alias("node"), F.col("src_idx").alias("value"))
+    start = own.unionByName(met).groupBy("node").agg(F.min("value").alias("value"))
+    found = least_values(start.withColumn("fell", F.col("value") < F.col("node")), lambda fell: fell.join(hops, fell.node == hops.src_idx).select(F.col("to").alias("node"), "value"))
+    drop(hops)
     return found.select(F.col("node").alias("idx"), F.col("value").alias("component"))
 
 

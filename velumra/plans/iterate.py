@@ -14,8 +14,11 @@ from .lineage import drop, table
 def least_values(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, value): the least value that reaches each node, from ``start``
     and then from ``step`` of the rows that fell in the round before. Only
-    those rows meet the edges again; the loop ends when there are none."""
-    now = table(start.groupBy("node").agg(F.min("value").alias("value")).withColumn("fell", F.lit(True)), "least")
+    those rows meet the edges again; the loop ends when there are none. Of a
+    ``start`` with a column ``fell``, one row for each node, only those begin
+    for which it is true."""
+    begun = start if "fell" in start.columns else start.groupBy("node").agg(F.min("value").alias("value")).withColumn("fell", F.lit(True))
+    now = table(begun, "least")
     while not now.where("fell").isEmpty():
         offered = step(now.where("fell").select("node", "value")).select("node", "value", F.lit(True).alias("new"))
         both = now.select("node", "value", F.lit(False).alias("new")).unionByName(offered).groupBy("node")

@@ -52,9 +52,19 @@ def drop(df: DataFrame) -> None:
     """Delete the files of a table made by ``table`` that nothing reads any more."""
     path = getattr(df, "_velumra_path", None)
     if path:
-        spark = df.sparkSession
-        there = spark._jvm.org.apache.hadoop.fs.Path(path)
-        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        discard(df.sparkSession, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a path made by ``fresh``."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def located(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of its file system, for readers outside Spark."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
 
 
 def tidy(spark: SparkSession) -> None:
