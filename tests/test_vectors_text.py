@@ -1,4 +1,5 @@
 import math
+import re
 
 import numpy as np
 import pytest
@@ -98,6 +99,32 @@ def test_similar_documents(spark):
     assert found == {(0, 1): 1.0, (0, 2): pytest.approx(0.7071, abs=1e-4), (1, 2): pytest.approx(0.7071, abs=1e-4)}
 
 
+def executed(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_similar_documents_shuffle_no_candidates(spark, monkeypatch):
+    """Blocks meet in a grid, whatever their number: no join makes pairs."""
+    d = docs(spark, *(f"apple banana cherry word{k} word{k % 7}" for k in range(90)), "", None)
+    plan = executed(text.similar_documents(d, 0.7))
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    whole = sorted(map(tuple, text.similar_documents(d, 0.7).collect()))
+    monkeypatch.setattr(text, "BLOCK_COUNTS", 60)
+    monkeypatch.setattr(text, "ROWS", 3)
+    assert sorted(map(tuple, text.similar_documents(d, 0.7).collect())) == whole and len(whole) > 100
+
+
+def test_words_are_shuffled_once(spark):
+    """By word alone, and neither written nor shuffled again for frequencies."""
+    d = docs(spark, "pear pear plum", "plum fig_tree", None, "odd\u2028 pear")
+    assert sorted((r.doc_id, r.word) for r in text.term_counts(d).collect()) == [(0, "pear"), (0, "plum"), (1, "fig_tree"), (1, "plum"), (3, "pear")]
+    plan = executed(text.tfidf(d))
+    assert plan.count("hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    plan = executed(text.encode_by_own(d))
+    assert not re.search(r"hashpartitioning\(doc_id", plan)
+
+
 def test_similar_documents_against_all_pairs(spark):
     """Words of very different frequency, near copies, and a search."""
     rng = np.random.default_rng(3)
