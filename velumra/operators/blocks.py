@@ -25,9 +25,6 @@ from .scores import DAMPING, SCORES
 
 BLOCK_EDGES = 1 << 21
 SLICE_EDGES = 1 << 21
-#: Scores that two rounds move by no more than this many roundings each stand
-#: still or swing between two vectors for good: later rounds repeat them.
-ROUNDINGS = 4
 
 
 def _read(path: str, kind: str) -> np.ndarray:
@@ -120,9 +117,9 @@ STATS = "block int, name string, sums binary"
 
 def _round(folder: str, ranges: list[tuple[int, int]], names: dict[int, str], before: list[tuple[dict[int, str], np.ndarray]], sizes: np.ndarray):
     """New scores, unscaled, of the blocks that come in. ``before`` holds the
-    files of the last rounds, latest first, and what scales each island. Sums
-    by island: squares of the new scores; moves of the latest from the one
-    before and from the one before that; the latest."""
+    files of the last two rounds, latest first, and what scales each island.
+    Sums by island: squares of the new scores; moves of the latest from the one
+    before."""
     k, n = len(sizes), ranges[-1][1] + 1
 
     def scaled(b: int, round_: tuple[dict[int, str], np.ndarray], island: np.ndarray) -> np.ndarray:
@@ -144,8 +141,8 @@ def _round(folder: str, ranges: list[tuple[int, int]], names: dict[int, str], be
             y = np.where(own, DAMPING * _pull(names[b], x) + ((1 - DAMPING) / np.append(sizes, 1.0))[island], 0.0)
             name = f"{folder}/{b}-{TaskContext.get().taskAttemptId()}"
             _write(name, y)
-            moves = [np.abs(here - scaled(b, r, island)) for r in before[1:]] + [np.full(len(here), np.inf)] * (3 - len(before))
-            sums = [np.bincount(island[own], v[own], k) for v in (y * y, *moves, here)]
+            moves = np.abs(here - scaled(b, before[1], island)) if len(before) > 1 else np.full(len(here), np.inf)
+            sums = [np.bincount(island[own], v[own], k) for v in (y * y, moves)]
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "name": [name], "sums": [np.concatenate(sums).tobytes()]})
 
     return run
@@ -169,9 +166,7 @@ def _emitting(ranges: list[tuple[int, int]], names: dict[int, str], files: dict[
 def huge_scores(nodes: DataFrame, edges: DataFrame, rounds: int, epsilon: float, block_edges: int = BLOCK_EDGES) -> DataFrame:
     """(idx, centrality) for nodes (idx, island) and edges (island, src_idx,
     dst_idx, weight) of huge islands, as ``island_scores`` has them up to
-    rounding. An island ends early when it moved by less than ``epsilon``, or
-    when two rounds changed its scores by no more than ``ROUNDINGS`` roundings:
-    then the rest of the rounds alternates between its last two vectors."""
+    rounding. By how much a round moved is known one round later, from files."""
     spark = nodes.sparkSession
     sizes = {r.island: r.n for r in nodes.groupBy("island").agg(F.count("*").alias("n")).collect()}  # few: each has many edges
     islands, n = sorted(sizes), np.array([sizes[i] for i in sorted(sizes)], float)
@@ -202,19 +197,17 @@ def huge_scores(nodes: DataFrame, edges: DataFrame, rounds: int, epsilon: float,
     for done in range(rounds):
         here = _made(spark, "round")
         stats = work.mapInArrow(released(_round(here, ranges, names, before, n)), STATS).collect()
-        squares, moved, moved2, total = np.sum([np.frombuffer(r.sums).reshape(4, -1) for r in sorted(stats, key=lambda r: r.block)], axis=0)
+        squares, moved = np.sum([np.frombuffer(r.sums).reshape(2, -1) for r in sorted(stats, key=lambda r: r.block)], axis=0)
         folders.append(here)
         still = open_ & (moved < epsilon)
-        swings = open_ & ~still & (moved2 <= ROUNDINGS * np.finfo(float).eps * total)
-        for which, round_ in ((still, 0), (swings, (rounds - done) % 2)):
-            if which.any():
-                emit(before[round_], which)
-        open_ &= ~(still | swings)
+        if still.any():
+            emit(before[0], still)
+        open_ &= ~still
         if not open_.any():
             break
         length = np.sqrt(squares)
-        before = [({r.block: r.name for r in stats}, 1 / np.where(length > 0, length, 1.0)), *before[:2]]
-        if len(folders) > 3:
+        before = [({r.block: r.name for r in stats}, 1 / np.where(length > 0, length, 1.0)), before[0]]
+        if len(folders) > 2:
             discard(spark, folders.pop(0))
     if open_.any():
         emit(before[0], open_)
